@@ -47,7 +47,8 @@ def chunked(docs: DataFrame, divisor: int) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """doc_id, at, gone: positions of a document's chunks that occurred before."""
-    split = materialize(chunked(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), divisor).select("doc_id", "at", F.posexplode("chunks").alias("pos", "chunk")).where(F.col("chunk.lines") >= least).where(F.col("chunk.text").rlike(r"\S")).select("doc_id", "at", "pos", F.xxhash64("chunk.text").alias("h"), F.col("chunk.text").alias("chunk")), "chunks")
+    # The outer form: the other lets the optimizer copy the chunks' definition into a filter below, once for each line.
+    split = materialize(chunked(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), divisor).select("doc_id", "at", F.posexplode_outer("chunks").alias("pos", "chunk")).where(F.col("chunk.lines") >= least).where(F.col("chunk.text").rlike(r"\S")).select("doc_id", "at", "pos", F.xxhash64("chunk.text").alias("h"), F.col("chunk.text").alias("chunk")), "chunks")
     again = split.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     candidates = split.join(again, "h", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "pos")
