@@ -64,6 +64,22 @@ def filled(sizes: np.ndarray, took: np.ndarray, room: int) -> np.ndarray:
     return counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots, element by element: LAPACK's threads may wait for ever in a process that was forked."""
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        if pivot != k:
+            both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        on = np.flatnonzero(factor)
+        both[on] -= factor[on, None] * both[k]
+    return both[:, n:]
+
+
 def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 40, pivots: int = 1500):
     """Basic patterns (as columns) and how often each is used, fractional: the cutting-stock linear program.
 
@@ -121,7 +137,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-
             row = inverse[out] / entering[out]
             inverse -= np.outer(entering, row)
             inverse[out] = row
-        inverse = np.linalg.inv(columns)
+        inverse = inverted(columns)
         use = np.maximum(inverse @ demand, 0)
         if use.sum() <= bound * (1 + gap):
             break
