@@ -27,7 +27,9 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.7
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.7
+#: Least labelled urls that hold a rule's tokens, for small tables.
+MIN_COUNT = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -58,6 +60,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """rule_id, antecedent, verdict, confidence, support: pruned rules mined from (tokens, verdict)."""
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
+    min_support = min(1.0, max(min_support, MIN_COUNT / max(baskets.count(), 1)))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where("consequent[0] like '=%' and not exists(antecedent, x -> x like '=%')")
     found = materialize(found.select(F.array_sort("antecedent").alias("antecedent"), F.substr(F.col("consequent")[0], F.lit(2)).alias("verdict"), "confidence", "support"), "rules")
