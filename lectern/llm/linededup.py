@@ -58,21 +58,21 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST)
 
 
 def drop_repeated_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text``; adds lines_in and lines_out."""
-    columns = docs.columns
-    gone = repeated_chunks(docs, divisor, least).select(F.col("doc_id").alias("_g_id"), F.col("at").alias("_g_at"), "gone")
+    """``docs`` with repeated chunks removed from ``text``; adds lines_in and lines_out (an input's own columns of these names are replaced)."""
+    columns = [c for c in docs.columns if c not in ("lines_in", "lines_out")]
+    gone = repeated_chunks(docs, divisor, least).select(F.col("doc_id").alias("_g_id"), F.col("at").alias("_g_at"), F.col("gone").alias("_gone"))
     keyed = docs.withColumn("_at", F.xxhash64("text"))
     met = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_g_id")) & (F.col("_at") == F.col("_g_at")), "left")
-    hit = met.where("gone is not null")
+    hit = met.where("_gone is not null")
     lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
-    same = met.where("gone is null").select(*columns, lines.alias("lines_in"), lines.alias("lines_out"))
+    same = met.where("_gone is null").select(*columns, lines.alias("lines_in"), lines.alias("lines_out"))
     # Rebuilt only where something goes.
     work = hit.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_v", F.transform("_lines", line_value))
     roll = lambda i: F.get("_v", i) + 31 * F.coalesce(F.get("_v", i - 1), F.lit(0))
     last = F.size("_lines") - 1
     work = work.withColumn("_ends", F.filter(F.sequence(F.lit(0), last), lambda i: (roll(i) % divisor == 0) | (i == last)))
     start = lambda k: F.coalesce(F.get("_ends", k - 1) + 1, F.lit(0))
-    kept = F.flatten(F.transform("_ends", lambda e, k: F.when(F.array_contains("gone", k), F.array().cast("array<string>")).otherwise(F.slice("_lines", start(k) + 1, e - start(k) + 1))))
+    kept = F.flatten(F.transform("_ends", lambda e, k: F.when(F.array_contains("_gone", k), F.array().cast("array<string>")).otherwise(F.slice("_lines", start(k) + 1, e - start(k) + 1))))
     work = work.withColumn("_kept", kept)
     less = work.select(*[F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(c) for c in columns], F.size("_lines").alias("lines_in"), F.size("_kept").alias("lines_out"))
     return same.unionByName(less)
