@@ -87,7 +87,10 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int =
     texts = texts.withColumn("d", F.xxhash64("w"))
     at = texts.select("doc_id", "d", F.posexplode(shingles("w", width)).alias("pos", "h")).join(small_side(known, n_known), "h")
     at = materialize(at.groupBy("doc_id", "d").agg(F.collect_set("pos").alias("at")), "anchors")
-    held = texts.join(at, [texts["doc_id"].eqNullSafe(at["doc_id"]), texts["d"] == at["d"]]).select(texts["doc_id"], texts["d"], "w", "at").dropDuplicates(["doc_id", "d"])
+    # Only documents with an anchor are split into words again.
+    near = docs.join(at.select(F.col("doc_id").alias("_near")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_near")), "left_semi")
+    near = near.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).withColumn("d", F.xxhash64("w"))
+    held = near.join(at, [near["doc_id"].eqNullSafe(at["doc_id"]), near["d"] == at["d"]]).select(near["doc_id"], near["d"], "w", "at").dropDuplicates(["doc_id", "d"])
     held = materialize(held, "held")
     # A logarithm of the longest item, whatever their number.
     sizes = [r["size"] for r in bench.select(F.round(F.pow(F.lit(LADDER), F.round(F.log("n") / F.log(F.lit(LADDER))))).cast("int").alias("size")).distinct().orderBy("size").collect()]
