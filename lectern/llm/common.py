@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows in an Arrow batch: long texts make batches of the usual 10,000 rows large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +43,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import _held
 
 SAMPLE_ROWS = 20_000
@@ -114,6 +115,7 @@ def blocks_of(texts: list[str | None]):
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS):
     """(languages, BUCKETS x languages log-likelihoods, scripts x languages candidates) from (text, lang)."""
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.where("text is not null and lang is not null")
     total = labelled.count()
     share = min(1.0, sample_rows / max(total, 1))

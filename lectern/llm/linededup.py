@@ -73,6 +73,7 @@ def drop_repeated_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LE
     work = work.withColumn("_ends", F.filter(F.sequence(F.lit(0), last), lambda i: (roll(i) % divisor == 0) | (i == last)))
     start = lambda k: F.coalesce(F.get("_ends", k - 1) + 1, F.lit(0))
     kept = F.flatten(F.transform("_ends", lambda e, k: F.when(F.array_contains("_gone", k), F.array().cast("array<string>")).otherwise(F.slice("_lines", start(k) + 1, e - start(k) + 1))))
-    work = work.withColumn("_kept", kept)
+    # A generator: a later filter on the text must not be pushed below it and copy the definitions into each line's lambda.
+    work = work.withColumn("_kept", F.explode_outer(F.array(kept)))
     less = work.select(*[F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(c) for c in columns], F.size("_lines").alias("lines_in"), F.size("_kept").alias("lines_out"))
     return same.unionByName(less)
