@@ -6,8 +6,9 @@ neighbours.  Chunks of two lines or more that occur again anywhere are removed
 but for their first occurrence (smallest doc_id, then position).  Hashes only
 find candidates; chunks are equal if their bytes are.
 
-Built-in functions only.  Texts stay where they are: hashes are shuffled, the
-texts of candidates, and each document once when removals are handed back.
+Built-in functions only.  Hashes of chunks are shuffled; each document's text
+once to cut out the chunks whose hash occurs again, and once when removals are
+handed back.
 
 Cases: a null text stays null; an empty one has one empty line.  Chunks that
 hold nothing but white space are never removed.  Rows that repeat a doc_id and
@@ -33,27 +34,45 @@ def line_value(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def chunked(docs: DataFrame, divisor: int) -> DataFrame:
-    """doc_id, at (hash of the text), chunks: array of (text, lines)."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("at"), F.split("text", "\n", -1).alias("lines"))
+def chunked(docs: DataFrame, divisor: int, *other: str) -> DataFrame:
+    """doc_id, at (hash of the text), chunks: array of (text, lines), and the other columns named."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("at"), *other, F.split("text", "\n", -1).alias("lines"))
     values = lines.withColumn("v", F.transform("lines", line_value))
     roll = lambda i: F.get("v", i) + 31 * F.coalesce(F.get("v", i - 1), F.lit(0))
     last = F.size("lines") - 1
     ends = values.withColumn("ends", F.filter(F.sequence(F.lit(0), last), lambda i: (roll(i) % divisor == 0) | (i == last)))
     start = lambda k: F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
     made = F.transform("ends", lambda e, k: F.struct(F.array_join(F.slice("lines", start(k) + 1, e - start(k) + 1), "\n").alias("text"), (e - start(k) + 1).alias("lines")))
-    return ends.select("doc_id", "at", made.alias("chunks"))
+    return ends.select("doc_id", "at", *other, made.alias("chunks"))
 
 
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
-    """doc_id, at, gone: positions of a document's chunks that occurred before."""
-    # The outer form: the other lets the optimizer copy the chunks' definition into a filter below, once for each line.
-    split = materialize(chunked(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), divisor).select("doc_id", "at", F.posexplode_outer("chunks").alias("pos", "chunk")).where(F.col("chunk.lines") >= least).where(F.col("chunk.text").rlike(r"\S")).select("doc_id", "at", "pos", F.xxhash64("chunk.text").alias("h"), F.col("chunk.text").alias("chunk")), "chunks")
-    again = split.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    candidates = split.join(again, "h", "left_semi")
+    """doc_id, at, gone: positions of a document's chunks that occurred before.
+
+    Hashes of all chunks are shuffled; texts only of chunks whose hash occurs
+    again.  A text is compared with that of its hash's first place; those that
+    differ from it (another text of the same hash) are grouped by their bytes.
+    """
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "pos")
-    first = candidates.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = candidates.join(first, ["h", "chunk"]).where(place != F.col("first"))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The outer form: the other lets the optimizer copy the chunks' definition into a filter below, once for each line.
+    split = chunked(texts, divisor).select("doc_id", "at", F.posexplode_outer("chunks").alias("pos", "chunk"))
+    split = split.where(F.col("chunk.lines") >= least).where(F.col("chunk.text").rlike(r"\S"))
+    hashes = materialize(split.select("doc_id", "at", "pos", F.xxhash64("chunk.text").alias("h")), "hashes")
+    again = hashes.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    marks = hashes.join(again, "h").select("doc_id", "at", F.struct("pos", "h", (place == F.col("first")).alias("leads")).alias("mark"))
+    marks = marks.groupBy("doc_id", "at").agg(F.collect_set("mark").alias("marks")).select(F.col("doc_id").alias("_m_id"), F.col("at").alias("_m_at"), "marks")
+    held = texts.withColumn("at", F.xxhash64("text")).join(marks, F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.col("at") == F.col("_m_at"))).select("doc_id", "text", "marks")
+    held = chunked(held, divisor, "marks").select("doc_id", "at", "marks", F.explode_outer(F.array("chunks")).alias("chunks"))
+    candidates = held.select("doc_id", "at", "chunks", F.explode("marks").alias("m")).select("doc_id", "at", "m.*", F.get("chunks", F.col("m.pos")).getField("text").alias("chunk"))
+    candidates = materialize(candidates, "chunks")
+    leads = candidates.where("leads").dropDuplicates(["h"]).select("h", F.col("chunk").alias("lead"))
+    met = candidates.where("not leads").join(leads, "h")
+    met = materialize(met.select("doc_id", "at", "pos", "h", F.when(F.col("chunk") != F.col("lead"), F.col("chunk")).alias("chunk")), "met")
+    rest = met.where("chunk is not null")
+    first = rest.groupBy("h", "chunk").agg(F.min(place).alias("first"))
+    rest = rest.join(first, ["h", "chunk"]).where(place != F.col("first"))
+    met = met.where("chunk is null").select("doc_id", "at", "pos").union(rest.select("doc_id", "at", "pos"))
     return met.groupBy("doc_id", "at").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -63,17 +82,19 @@ def drop_repeated_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LE
     gone = repeated_chunks(docs, divisor, least).select(F.col("doc_id").alias("_g_id"), F.col("at").alias("_g_at"), F.col("gone").alias("_gone"))
     keyed = docs.withColumn("_at", F.xxhash64("text"))
     met = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_g_id")) & (F.col("_at") == F.col("_g_at")), "left")
-    hit = met.where("_gone is not null")
-    lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
-    same = met.where("_gone is null").select(*columns, lines.alias("lines_in"), lines.alias("lines_out"))
-    # Rebuilt only where something goes.
-    work = hit.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_v", F.transform("_lines", line_value))
+    # Rebuilt only where something goes: without positions the lines are null, and so is all that follows from them.
+    work = met.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1))).withColumn("_v", F.transform("_lines", line_value))
     roll = lambda i: F.get("_v", i) + 31 * F.coalesce(F.get("_v", i - 1), F.lit(0))
     last = F.size("_lines") - 1
-    work = work.withColumn("_ends", F.filter(F.sequence(F.lit(0), last), lambda i: (roll(i) % divisor == 0) | (i == last)))
+    work = work.withColumn("_ends", F.when(F.col("_gone").isNotNull(), F.filter(F.sequence(F.lit(0), last), lambda i: (roll(i) % divisor == 0) | (i == last))))
     start = lambda k: F.coalesce(F.get("_ends", k - 1) + 1, F.lit(0))
     kept = F.flatten(F.transform("_ends", lambda e, k: F.when(F.array_contains("_gone", k), F.array().cast("array<string>")).otherwise(F.slice("_lines", start(k) + 1, e - start(k) + 1))))
     # A generator: a later filter on the text must not be pushed below it and copy the definitions into each line's lambda.
     work = work.withColumn("_kept", F.explode_outer(F.array(kept)))
-    less = work.select(*[F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(c) for c in columns], F.size("_lines").alias("lines_in"), F.size("_kept").alias("lines_out"))
-    return same.unionByName(less)
+    lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
+    hit = F.col("_gone").isNotNull()
+    return work.select(
+        *[F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in columns],
+        lines.alias("lines_in"),
+        F.when(hit, F.size("_kept")).otherwise(lines).alias("lines_out"),
+    )
