@@ -5,7 +5,10 @@ chosen by hash: a node is cut by the hyperplane between two of its vectors, at
 the median, until it holds LEAF of them.  Executors then put every distinct
 vector into its leaf of each tree.  A query searches all trees through one
 queue ordered by the smallest margin on the way to a node, and takes the first
-PROBES leaves; the vectors there are ranked by their exact distance.
+PROBES leaves; the vectors there are ranked by their exact distance.  What the
+forest finds only bounds the k-th distance: every vector is then measured
+against the bounds of all queries (a matrix product for each block of either),
+and those within them are ranked.  The answers are exact.
 
 Equal vectors are one class: it is indexed and searched once.  Only its
 ``k + 1`` smallest ids can be among the nearest (ties go to smaller ids), so
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialize, small_side
 
 SAMPLE, TREES, LEAF, PROBES = 65_536, 8, 64, 60
+#: Queries of one pass over the vectors, and rows of a matrix product.
+PASS, TILE = 50_000, 256
 
 
 def grow(vectors: np.ndarray, leaf: int, rng) -> dict:
@@ -88,6 +93,42 @@ def probe(forest: list[dict], vector: np.ndarray, probes: int) -> list[tuple[int
     return found
 
 
+def within(distinct: DataFrame, bounds: DataFrame, dim: int, k: int) -> DataFrame:
+    """q, node, score: of each (q, embedding, bound), all of ``distinct`` within the bound, or the k + 1 nearest of each batch where that is fewer."""
+    asked = bounds.toPandas().sort_values("q")  # one pass's queries
+    shared = distinct.sparkSession.sparkContext.broadcast((asked["q"].to_numpy(), np.array(asked["embedding"].tolist(), dtype=np.float64).reshape(len(asked), dim), asked["bound"].to_numpy()))
+
+    def scan(batches):
+        import pyarrow as pa
+
+        ids, queries, bound = shared.value
+        with np.errstate(over="ignore", invalid="ignore"):
+            q_norm = (queries**2).sum(axis=1)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                node = batch.column(0).to_numpy()
+                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                x_norm = (x**2).sum(axis=1)
+                for lo in range(0, len(ids), TILE):
+                    hi = min(lo + TILE, len(ids))
+                    both = q_norm[lo:hi, None] + x_norm
+                    # More than rounding can take away; what is not a number is measured.
+                    far = both - 2 * (queries[lo:hi] @ x.T) > (bound[lo:hi, None] ** 2) * (1 + 1e-9) + both * 1e-9
+                    out = [[], [], []]
+                    for q in np.flatnonzero(~far.all(axis=1)):
+                        at = np.flatnonzero(~far[q])
+                        d = np.sqrt(((x[at] - queries[lo + q]) ** 2).sum(axis=1))
+                        near = np.lexsort((node[at], d))[: k + 1]
+                        out[0].append(np.full(len(near), ids[lo + q]))
+                        out[1].append(node[at][near])
+                        out[2].append(d[near])
+                    if out[0]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["q", "node", "score"])
+
+    return distinct.select("node", "embedding").mapInArrow(scan, "q long, node long, score double")
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k nearest of the other rows of (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -169,6 +210,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample: int = SAMPLE, tre
     found = placed.repartition("leaf").sortWithinPartitions("leaf", "kind").mapInArrow(rank, "q long, node long, score double")
     found = found.groupBy("q", "node").agg(F.min("score").alias("score"))
     by_class = Window.partitionBy("q").orderBy("score", "node")
+    found = found.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k + 1)
+    # Fewer than k + 1 found: no bound.
+    bounds = found.groupBy("q").agg(F.when(F.count("*") > k, F.max("score")).otherwise(float("inf")).alias("bound"))
+    bounds = distinct.where("asks").select(F.col("node").alias("q"), "embedding").join(bounds, "q", "left").select("q", "embedding", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    bounds = materialize(bounds, "bounds")
+    passes = -(-bounds.count() // PASS)
+    found = None
+    for number in range(passes):
+        part = bounds if passes == 1 else bounds.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == number)
+        part = within(distinct, part, dims["d"], k)
+        found = part if found is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = materialize(found.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k + 1).select("q", "node", "score"), "near")
     key = distinct.select("a", "b", "node")
     answers = found.join(key, "node").join(few, ["a", "b"]).select("q", "vec_id", "score")

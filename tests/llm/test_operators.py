@@ -106,6 +106,18 @@ def test_neighbours(spark):
     assert got == want and neighbours.nearest(d.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_beyond_the_probes(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 24))
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.nearest(d, F.col("vec_id") % 100 == 0, trees=2, leaf=16, probes=4).collect()}
+    want = {}
+    for q in range(0, 3000, 100):
+        near = np.argsort(np.sqrt(((x - x[q]) ** 2).sum(axis=1)))[1:11]
+        want |= {(q, r): int(k) for r, k in enumerate(near, 1)}
+    assert got == want
+
+
 def test_decontaminate(spark):
     rng = random.Random(6)
     items = [sentence(rng, n) for n in (20, 35, 58)]
