@@ -144,7 +144,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample: int = SAMPLE, tre
     rows = rows.where(F.size("embedding") == dims["d"])
     distinct = materialize(rows.groupBy("a", "b", "embedding").agg(F.min("vec_id").alias("node"), F.max("asks").alias("asks")), "distinct")
     # The class's smallest ids: the limit on rank is applied before the shuffle.
-    few = rows.select("a", "b", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    few = rows.select("a", "b", "vec_id").withColumn("r", F.dense_rank().over(Window.partitionBy("a", "b").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     few = materialize(few.dropDuplicates(["a", "b", "vec_id"]).select("a", "b", "vec_id"), "members")
     n = distinct.count()
     share = min(1.0, sample / n)

@@ -118,6 +118,13 @@ def test_neighbours_beyond_the_probes(spark):
     assert got == want
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(1, [1.0, 2.0])] * 12 + [(k, [1.0, 2.0]) for k in range(2, 8)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, F.col("vec_id") == 7, k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_decontaminate(spark):
     rng = random.Random(6)
     items = [sentence(rng, n) for n in (20, 35, 58)]
