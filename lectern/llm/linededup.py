@@ -6,6 +6,12 @@ neighbours.  Chunks of two lines or more that occur again anywhere are removed
 but for their first occurrence (smallest doc_id, then position).  Hashes only
 find candidates; chunks are equal if their bytes are.
 
+That form is bound by its SQL: a chunk of one line, and one that also holds
+foreign lines, always stays.  ``drop_repeated_passages`` has no boundaries: two
+neighbouring lines that occur together earlier are removed, and so is every
+passage of two lines or more that occurred before, whole and without its
+neighbours.  A line's first occurrence always stays.
+
 Built-in functions only.  Hashes of chunks are shuffled; each document's text
 once to cut out the chunks whose hash occurs again, and once when removals are
 handed back.
@@ -46,6 +52,19 @@ def chunked(docs: DataFrame, divisor: int, *other: str) -> DataFrame:
     return ends.select("doc_id", "at", *other, made.alias("chunks"))
 
 
+def verified(candidates: DataFrame) -> DataFrame:
+    """doc_id, at, gone: of (doc_id, at, pos, h, leads, chunk), the positions whose text occurred before."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "pos")
+    leads = candidates.where("leads").dropDuplicates(["h"]).select("h", F.col("chunk").alias("lead"))
+    met = candidates.where("not leads").join(leads, "h")
+    met = materialize(met.select("doc_id", "at", "pos", "h", F.when(F.col("chunk") != F.col("lead"), F.col("chunk")).alias("chunk")), "met")
+    rest = met.where("chunk is not null")
+    first = rest.groupBy("h", "chunk").agg(F.min(place).alias("first"))
+    rest = rest.join(first, ["h", "chunk"]).where(place != F.col("first"))
+    met = met.where("chunk is null").select("doc_id", "at", "pos").union(rest.select("doc_id", "at", "pos"))
+    return met.groupBy("doc_id", "at").agg(F.collect_set("pos").alias("gone"))
+
+
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """doc_id, at, gone: positions of a document's chunks that occurred before.
 
@@ -65,15 +84,44 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST)
     held = texts.withColumn("at", F.xxhash64("text")).join(marks, F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.col("at") == F.col("_m_at"))).select("doc_id", "text", "marks")
     held = chunked(held, divisor, "marks").select("doc_id", "at", "marks", F.explode_outer(F.array("chunks")).alias("chunks"))
     candidates = held.select("doc_id", "at", "chunks", F.explode("marks").alias("m")).select("doc_id", "at", "m.*", F.get("chunks", F.col("m.pos")).getField("text").alias("chunk"))
-    candidates = materialize(candidates, "chunks")
-    leads = candidates.where("leads").dropDuplicates(["h"]).select("h", F.col("chunk").alias("lead"))
-    met = candidates.where("not leads").join(leads, "h")
-    met = materialize(met.select("doc_id", "at", "pos", "h", F.when(F.col("chunk") != F.col("lead"), F.col("chunk")).alias("chunk")), "met")
-    rest = met.where("chunk is not null")
-    first = rest.groupBy("h", "chunk").agg(F.min(place).alias("first"))
-    rest = rest.join(first, ["h", "chunk"]).where(place != F.col("first"))
-    met = met.where("chunk is null").select("doc_id", "at", "pos").union(rest.select("doc_id", "at", "pos"))
-    return met.groupBy("doc_id", "at").agg(F.collect_set("pos").alias("gone"))
+    return verified(materialize(candidates, "chunks"))
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, at, gone: positions of lines that, with the next, occurred before.
+
+    A pair that overlaps its first occurrence (``a`` twice in ``a a a``) is no
+    repeat.  Texts are shuffled only of pairs whose hash occurs again.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "pos")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.xxhash64("text"))
+    line = lambda i: F.get("lines", i)
+    full = lambda x: x.rlike(r"\S")
+    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i < F.size("lines") - 1) & (full(line(i)) | full(line(i + 1))))
+    pairs = texts.select("doc_id", "at", F.split("text", "\n", -1).alias("lines"))
+    pairs = pairs.select("doc_id", "at", F.explode_outer(F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(line(i), line(i + 1)).alias("h")))).alias("pair"))
+    hashes = materialize(pairs.where("pair is not null").select("doc_id", "at", "pair.*"), "hashes")
+    again = hashes.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    overlaps = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")) & (F.col("pos") == F.col("first.pos") + 1)
+    marks = hashes.join(again, "h").where(~overlaps).select("doc_id", "at", F.struct("pos", "h", (place == F.col("first")).alias("leads")).alias("mark"))
+    marks = marks.groupBy("doc_id", "at").agg(F.collect_set("mark").alias("marks")).select(F.col("doc_id").alias("_m_id"), F.col("at").alias("_m_at"), "marks")
+    held = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.col("at") == F.col("_m_at")))
+    held = held.select("doc_id", "at", "marks", F.split("text", "\n", -1).alias("lines"))
+    cut = F.transform("marks", lambda m: F.struct(m["pos"].alias("pos"), m["h"].alias("h"), m["leads"].alias("leads"), F.concat(line(m["pos"]), F.lit("\n"), line(m["pos"] + 1)).alias("chunk")))
+    return verified(materialize(held.select("doc_id", "at", F.explode(cut).alias("m")).select("doc_id", "at", "m.*"), "chunks"))
+
+
+def handed_back(work: DataFrame, kept: Column, columns: list[str]) -> DataFrame:
+    """The columns with the text of the ``kept`` lines where ``_gone`` is not null, lines_in and lines_out."""
+    # A generator: a later filter on the text must not be pushed below it and copy the definitions into each line's lambda.
+    work = work.withColumn("_kept", F.explode_outer(F.array(kept)))
+    lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
+    hit = F.col("_gone").isNotNull()
+    return work.select(
+        *[F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in columns],
+        lines.alias("lines_in"),
+        F.when(hit, F.size("_kept")).otherwise(lines).alias("lines_out"),
+    )
 
 
 def drop_repeated_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
@@ -89,12 +137,17 @@ def drop_repeated_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LE
     work = work.withColumn("_ends", F.when(F.col("_gone").isNotNull(), F.filter(F.sequence(F.lit(0), last), lambda i: (roll(i) % divisor == 0) | (i == last))))
     start = lambda k: F.coalesce(F.get("_ends", k - 1) + 1, F.lit(0))
     kept = F.flatten(F.transform("_ends", lambda e, k: F.when(F.array_contains("_gone", k), F.array().cast("array<string>")).otherwise(F.slice("_lines", start(k) + 1, e - start(k) + 1))))
-    # A generator: a later filter on the text must not be pushed below it and copy the definitions into each line's lambda.
-    work = work.withColumn("_kept", F.explode_outer(F.array(kept)))
-    lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
-    hit = F.col("_gone").isNotNull()
-    return work.select(
-        *[F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in columns],
-        lines.alias("lines_in"),
-        F.when(hit, F.size("_kept")).otherwise(lines).alias("lines_out"),
-    )
+    return handed_back(work, kept, columns)
+
+
+def drop_repeated_passages(docs: DataFrame) -> DataFrame:
+    """As ``drop_repeated_lines``, but by pairs of neighbouring lines: passages that occurred before go whole."""
+    columns = [c for c in docs.columns if c not in ("lines_in", "lines_out")]
+    gone = repeated_pairs(docs).select(F.col("doc_id").alias("_g_id"), F.col("at").alias("_g_at"), F.sort_array("gone").alias("_gone"))
+    keyed = docs.withColumn("_at", F.xxhash64("text"))
+    met = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_g_id")) & (F.col("_at") == F.col("_g_at")), "left")
+    work = met.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1)))
+    # What lies between two pairs that go.
+    start = lambda k: F.coalesce(F.get("_gone", k - 1) + 2, F.lit(0))
+    kept = F.flatten(F.transform(F.concat("_gone", F.array(F.size("_lines"))), lambda e, k: F.slice("_lines", start(k) + 1, F.greatest(e - start(k), F.lit(0)))))
+    return handed_back(work, kept, columns)

@@ -79,6 +79,34 @@ def test_line_dedup(spark):
     assert [found[k]["text"] for k in (4, 5, 6, 7, 8)] == texts[4:] and found[0]["gone"] == "s"
 
 
+def test_passages_go_whole(spark):
+    """Against a plain loop, and planted passages of 2 to 10 lines between foreign lines."""
+    rng = random.Random(12)
+    passages = [[f"passage {n} line {k} {rng.random()}" for k in range(n)] for n in range(2, 11)]
+    texts, own = [], []
+    for k in range(40):
+        own.append([f"own {k} {j}" for j in range(12)])
+        planted = dict(zip(rng.sample(range(12), 3), rng.sample(passages, 3)))
+        texts.append("\n".join(line for j, x in enumerate(own[k]) for line in (*planted.get(j, []), x)))
+    texts[0] = "\n".join(line for p in passages for line in (*p, "apart " + p[0]))
+    texts += ["a\na\na", "b\nb\nb\nb\nb", "a\na\nz", "solo", "", "\n\n\n", "\n\n\n", None, texts[3]]
+    d = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, _gone2 string")
+    seen, want = {}, {}
+    for k, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        out = set()
+        for i in range(len(lines) - 1):
+            if (lines[i] + lines[i + 1]).strip():
+                first = seen.setdefault((lines[i], lines[i + 1]), (k, i))
+                if first not in ((k, i), (k, i - 1)):
+                    out |= {i, i + 1}
+        want[k] = t and "\n".join(x for i, x in enumerate(lines) if i not in out)
+    found = {r["doc_id"]: r for r in linededup.drop_repeated_passages(d).collect()}
+    assert {k: r["text"] for k, r in found.items()} == want
+    assert all(found[k]["text"].split("\n") == own[k] for k in range(1, 40)) and found[48]["lines_out"] == 0
+    assert [found[k]["text"] for k in (40, 41, 42)] == ["a\na\na", "b\nb", "z"]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = [(k, sentence(rng, 20) + (" vile" if k % 3 == 0 else "") + (". the women spoke" if k % 6 == 0 else ""), int(k % 3 == 0)) for k in range(120)]
