@@ -1,17 +1,17 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination by shingles that an item cannot do without.
 
 A document is contaminated by an item if one of its windows of about the
 item's size holds 80 % of the item's weighted five-word shingles.
 
-1. Windows that hold no five-word shingle of any item cannot qualify.  The
-   items' shingles are looked up first, and windows are laid only where one
-   was found: of each of a ladder of sizes, at every few words.
-2. A window's 64-bit SimHash is made of its words, each weighted by its count,
-   from packed counters.  Fingerprints are cut into RADIUS + 1 blocks; windows
-   and items that agree in any block are compared, which misses none within
-   the radius.
-3. Shingles of the pair, with counts, are compared exactly; the window is
-   widened by what the ladder and the steps may have cut off.
+1. Of an item's shingles, ordered by the number of items that hold them, as
+   many as weigh more than 20 % are its keys.  A window that holds none of them
+   cannot reach 80 %, so documents without a key of an item are not compared
+   with it; no other is left out.
+2. Windows begin at each of the item's shingles in such a document: any window
+   can be moved to one without losing a shingle.  Their weights are exact: a
+   shingle that the item holds w times counts unless its w-th occurrence back
+   lies in the window too.  A window has the item's size and a margin for
+   foreign words.
 
 Built-in functions only.  The benchmark side is broadcast only after its rows
 are counted; beyond the bound the joins shuffle.
@@ -24,14 +24,14 @@ dropped by their text alone.  Other columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_side
 
-WIDTH, PERCENT, RADIUS = 5, 80, 9
-#: Windows' sizes grow by this factor and lie this share of their size apart.
-LADDER, STRIDE = 1.1, 0.1
+WIDTH, PERCENT = 5, 80
+#: A window is longer than the item by this share, and on either side by this share of that (two words at least).
+SLACK, MARGIN = 0.05, 0.2
 
 
 def words(text: Column) -> Column:
@@ -45,74 +45,47 @@ def shingles(w: str, width: int = WIDTH) -> Column:
     return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<long>"))
 
 
-def fingerprints(windows: DataFrame) -> DataFrame:
-    """Adds f: the SimHash of ``w`` (an array of words, fewer than 2 to the 15), 64 bits.
+def keys(bench: DataFrame, percent: int) -> DataFrame:
+    """item_id, h: of each (item_id, s), shingles without which less than ``percent`` of its weight is left, rarest first."""
+    each = bench.select("item_id", F.size("s").alias("total"), F.explode("s").alias("h")).groupBy("item_id", "total", "h").agg(F.count("*").alias("weight"))
+    held = each.groupBy("h").agg(F.count("*").alias("items"))
+    order = Window.partitionBy("item_id").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("weight").over(order), F.lit(0))
+    # The first keys whose loss leaves too little.
+    return each.join(held, "h").withColumn("before", before).where(100 * (F.col("total") - F.col("before")) >= percent * F.col("total")).select("item_id", "h")
 
-    Four 16-bit counters share a long, so that sixteen sums count all bits.
-    """
-    keys = [c for c in windows.columns if c != "w"]
-    each = windows.select(*keys, F.size("w").alias("_n"), F.explode("w").alias("_x")).withColumn("_h", F.xxhash64("_x"))
-    one = F.lit(1).cast("long")
 
-    def counters(k):
-        out = F.shiftrightunsigned("_h", k).bitwiseAND(one)
-        for j in range(1, 4):
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("_h", k + j).bitwiseAND(one), 16 * j))
-        return out
-
-    sums = each.groupBy(*keys, "_n").agg(*[F.sum(counters(k)).alias(f"_{k}") for k in range(0, 64, 4)])
-    f = F.lit(0).cast("long")
-    for k in range(64):
-        count = F.shiftrightunsigned(F.col(f"_{k // 4 * 4}"), 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF).cast("long"))
-        f = f.bitwiseOR(F.when(2 * count > F.col("_n"), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return sums.select(*keys, f.alias("f"))
-
-
-def blocks(f: Column, radius: int) -> Column:
-    """(block, value) of each of the radius + 1 blocks."""
-    n = radius + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(f, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-
-
-def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, similarity (of the best window): documents that hold an item."""
     bench = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
     bench = bench.groupBy("w").agg(F.min("item_id").alias("item_id")).withColumn("s", shingles("w", width)).withColumn("n", F.size("w"))
     bench = materialize(bench, "items")
     n_items = bench.count()
-    known = materialize(bench.select(F.explode("s").alias("h")).distinct(), "item-shingles")
+    known = materialize(keys(bench, percent), "item-keys")
     n_known = known.count()
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
     texts = texts.withColumn("d", F.xxhash64("w"))
-    at = texts.select("doc_id", "d", F.posexplode(shingles("w", width)).alias("pos", "h")).join(small_side(known, n_known), "h")
-    at = materialize(at.groupBy("doc_id", "d").agg(F.collect_set("pos").alias("at")), "anchors")
-    # Only documents with an anchor are split into words again.
+    at = texts.select("doc_id", "d", F.explode(shingles("w", width)).alias("h")).join(small_side(known, n_known), "h")
+    at = materialize(at.select("doc_id", "d", "item_id").distinct(), "candidates")
+    # Only documents with a candidate are split into words again.
     near = docs.join(at.select(F.col("doc_id").alias("_near")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_near")), "left_semi")
     near = near.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).withColumn("d", F.xxhash64("w"))
-    held = near.join(at, [near["doc_id"].eqNullSafe(at["doc_id"]), near["d"] == at["d"]]).select(near["doc_id"], near["d"], "w", "at").dropDuplicates(["doc_id", "d"])
-    held = materialize(held, "held")
-    # A logarithm of the longest item, whatever their number.
-    sizes = [r["size"] for r in bench.select(F.round(F.pow(F.lit(LADDER), F.round(F.log("n") / F.log(F.lit(LADDER))))).cast("int").alias("size")).distinct().orderBy("size").collect()]
-    step = F.greatest(F.lit(1), (F.col("size") * STRIDE).cast("int"))
-    # Starts on each size's grid, so that windows of neighbouring anchors are the same ones.
-    laid = held.select("doc_id", "d", F.size("w").alias("n"), F.explode("at").alias("a")).withColumn("size", F.explode(F.array(*map(F.lit, sizes or [1]))))
-    low = F.ceil(F.greatest(F.lit(0), F.col("a") + width - F.col("size")) / step)
-    laid = laid.select("doc_id", "d", "size", F.explode(F.sequence(low.cast("int"), F.greatest(low, F.floor(F.col("a") / step)).cast("int"))).alias("g"), step.alias("step")).select("doc_id", "d", "size", (F.col("g") * F.col("step")).alias("start")).distinct()
-    windows = laid.join(held.select("doc_id", "d", "w"), laid["doc_id"].eqNullSafe(held["doc_id"]) & (laid["d"] == held["d"])).select(laid["doc_id"], laid["d"], "size", "start", F.slice("w", F.col("start") + 1, F.col("size")).alias("w"))
-    marked = fingerprints(windows).withColumn("b", F.explode(blocks(F.col("f"), radius)))
-    own = fingerprints(bench.select("item_id", "n", "w")).select("item_id", "n", F.col("f").alias("g"), F.explode(blocks(F.col("f"), radius)).alias("b2"))
-    met = marked.join(small_side(own, n_items * (radius + 1)), (F.col("b.block") == F.col("b2.block")) & (F.col("b.value") == F.col("b2.value")))
-    met = met.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
-    pairs = met.select("doc_id", "d", "item_id", "start", "size").distinct()
-    pad = F.greatest(F.lit(2), (F.col("size") * (LADDER - 1 + STRIDE)).cast("int"))
-    pairs = pairs.join(held.select("doc_id", "d", "w"), pairs["doc_id"].eqNullSafe(held["doc_id"]) & (pairs["d"] == held["d"])).select(
-        pairs["doc_id"], pairs["d"], "item_id", F.slice("w", F.greatest(F.col("start") - pad, F.lit(0)) + 1, F.col("size") + 2 * pad).alias("w")
-    )
-    pairs = pairs.withColumn("here", shingles("w", width)).select("doc_id", "d", "item_id", "here").join(bench.select("item_id", "s", F.size("s").alias("total")), "item_id")
-    count = lambda column, x: F.size(F.filter(column, lambda y: y == x))
-    common = F.aggregate(F.transform(F.array_distinct("s"), lambda x: F.least(count("here", x), count("s", x))), F.lit(0), lambda a, x: a + x)
-    found = pairs.select("doc_id", "d", "item_id", (common / F.col("total")).alias("similarity")).where(F.col("similarity") * 100 >= percent)
+    held = near.dropDuplicates(["doc_id", "d"]).select("doc_id", "d", F.posexplode(shingles("w", width)).alias("p", "h"))
+    weights = materialize(bench.select("item_id", "n", F.size("s").alias("total"), F.explode("s").alias("h")).groupBy("item_id", "n", "total", "h").agg(F.count("*").cast("int").alias("weight")), "weights")
+    n_weights = weights.count()
+    held = materialize(held.join(small_side(weights.select("h").distinct(), n_weights), "h", "left_semi"), "held")
+    pair = at.select(F.col("doc_id").alias("_c_id"), F.col("d").alias("_c_d"), "item_id")
+    hits = held.join(pair, F.col("doc_id").eqNullSafe(F.col("_c_id")) & (F.col("d") == F.col("_c_d"))).select("doc_id", "d", "item_id", "p", "h").join(small_side(weights, n_weights), ["item_id", "h"])
+    # back: where the occurrence lies from which on this one is one too many.
+    group = ["doc_id", "d", "item_id", "n", "total"]
+    hits = hits.groupBy(*group, "h", "weight").agg(F.sort_array(F.collect_list("p")).alias("all"))
+    hits = hits.select(*group, F.explode(F.transform("all", lambda p, k: F.struct(p.alias("p"), F.when(k >= F.col("weight"), F.get("all", k - F.col("weight"))).otherwise(-1).alias("back")))).alias("hit"))
+    hits = hits.groupBy(*group).agg(F.sort_array(F.collect_list("hit")).alias("hits")).where(100 * F.size("hits") >= percent * F.col("total"))
+    size = F.ceil(F.col("n") * (1 + SLACK)).cast("int")
+    hits = hits.withColumn("span", F.greatest(size + 2 * F.greatest(F.lit(2), F.ceil(size * MARGIN).cast("int")) - width + 1, F.lit(1)))
+    weight = lambda x, k: F.size(F.filter(F.slice("hits", k + 1, F.col("span")), lambda y: (y["p"] < x["p"] + F.col("span")) & (y["back"] < x["p"])))
+    found = hits.withColumn("common", F.array_max(F.transform("hits", weight))).where(100 * F.col("common") >= percent * F.col("total"))
+    found = found.withColumn("similarity", F.col("common") / F.col("total"))
     return found.groupBy("doc_id", "d", "item_id").agg(F.max("similarity").alias("similarity"))
 
 

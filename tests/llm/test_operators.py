@@ -167,6 +167,39 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontaminate_altered_passages(spark):
+    """Parts and interleaved copies of items, against all windows of all pairs."""
+    rng = random.Random(13)
+    items = [[f"i{k}w{rng.randrange(40)}" for _ in range(n)] for k, n in enumerate((12, 17, 25, 40, 40, 63, 90))]
+    items[4] = items[4][:8] * 5
+    own = lambda n: [f"own{rng.randrange(500)}" for _ in range(n)]
+    texts = []
+    for item in items:
+        n = len(item)
+        for share in (1.0, 0.9, 0.86, 0.84, 0.8, 0.7):
+            part = max(1, round(share * n))
+            texts += [own(33) + item[:part] + own(21), own(9) + item[n - part :] + own(30)]
+        middle = n // 2
+        texts += [own(7) + item[:middle] + own(max(2, n // 8)) + item[middle:] + own(5), own(7) + item[:middle] + own(2 * n) + item[middle:], item[:8] * 3 + own(4)]
+    cut = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            s = cut(item)
+            size = math.ceil(len(item) * 1.05)
+            span = size + 2 * max(2, math.ceil(size * 0.2)) - 4
+            here = cut(t)
+            best = max(sum(min(here[a : a + span].count(x), s.count(x)) for x in set(s)) for a in range(len(here)))
+            if 100 * best >= 80 * len(s):
+                want[d, i] = best / len(s)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    for some in ([*range(len(items))], [2], [5]):
+        bench = spark.createDataFrame([(i, " ".join(items[i])) for i in some], "item_id long, text string")
+        found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs, bench).collect()}
+        assert found == {k: v for k, v in want.items() if k[1] in some}
+    assert len(want) > 50
+
+
 def test_packing(spark, docs):
     rows = packing.pack(docs, with_ids=True).collect()
     by = {}
