@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -23,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         base = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -46,9 +50,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     bounded_batches(spark)
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._lectern_path = path
+    return made
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for these frames; nothing that is still to run may read them."""
+    for df in frames:
+        if path := getattr(df, "_lectern_path", None):
+            spark = df.sparkSession
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_side(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows, of ``width`` bytes each at most, allow it; else with one for a merge join."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df.hint("merge")

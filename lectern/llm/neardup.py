@@ -10,30 +10,36 @@ shares a table with probability (1 - (1 - 0.64)^8)^2 = 0.9994.
 1. One pass makes each text's shingle set, its size, a 128-bit digest of it and
    its sub-keys.  Equal sets form a class and go on as one representative.
 2. Sub-keys that no other class has are dropped before any table key is made.
-3. In each bucket every member is compared with pivots: with the most central
-   class, and with one of another order.  Buckets of few classes compare all.
-   Links are confirmed on full sets.
-4. Connected components of the links.  Large buckets that still hold more than
-   one component are split by longer keys of further sub-keys, and step 3
-   runs again on them, up to ``depth`` times.
-
-No group is ever collected: pivots are aggregates, pairs are bounded by
-pivots or by the small buckets, and joins on keys can be split.
+3. Buckets of few classes compare all their pairs; in a larger one every member
+   is compared with the most central class.  Links are confirmed on full sets,
+   and form connected components.
+4. Larger buckets that still hold more than one component are finished exactly:
+   their members are joined on shingles that a link cannot do without (prefix
+   filter: of a set's shingles, rarest first, one of the first tenth or fifth
+   must be common), pairs of one component left out, and confirmed likewise.
+   So no pair that shares a bucket is lost, whatever the bucket's size.
+
+No group is ever collected: the central class is an aggregate, pairs are
+bounded by it, by the small buckets, or by the prefix filter with its bounds on
+sizes and positions, and joins on keys can be split.
 
 Cases: a null text, or one without words, has an empty set and is linked with
 nothing.  Fewer words than the shingle's are one shingle.  Rows that repeat a
-doc_id are one document to the components (each row is returned).  An empty
-table gives no rows.  Rows with a null doc_id are returned with null
-component_id.  Other columns of the input are ignored, whatever their names.
+doc_id are one document to the components (each row is returned); if their
+texts differ, it is linked by any of them.  An empty table gives no rows.  Rows
+with a null doc_id are returned with null component_id.  Other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, small_side
 from .components import connected_components
 from .wordhash import ascii_lower, mix, whitespace_delimiters, word_batches
 
@@ -125,7 +131,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 raw = [sets[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(raw, pa.binary())], ["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    made = docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return made.groupBy("node").agg(F.collect_set("shingles").alias("shingles")).select("node", F.explode("shingles").alias("shingles"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,42 +160,82 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
-def candidate_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """From (key, node, n, weight): pairs of each member with its bucket's pivots, and all pairs of small buckets; and the keys of larger buckets."""
-    order = F.struct("weight", F.negative("node").alias("low"))
-    stats = members.groupBy("key").agg(
-        F.count("*").alias("size"),
-        F.max(order).alias("central"),
-        F.max(F.xxhash64("node", "key")).alias("other"),
-    ).where("size > 1")
+def buckets(members: DataFrame) -> DataFrame:
+    """key, size, pivot, pn: buckets of (key, node, n, weight) with more than one member, and the node and size of the most central."""
+    central = F.max(F.struct("weight", F.negative("node").alias("low"), "n"))
+    stats = members.groupBy("key").agg(F.count("*").alias("size"), central.alias("central")).where("size > 1")
+    return stats.select("key", "size", F.negative("central.low").alias("pivot"), F.col("central.n").alias("pn"))
+
+
+def candidate_pairs(members: DataFrame, stats: DataFrame, percent: int) -> DataFrame:
+    """(u, v): each member of (key, node, n, weight) with its bucket's pivot, and all pairs of small buckets."""
     met = members.join(stats, "key")
     fits = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.col("node") != F.col("pivot"))
-    # The pivots' set sizes come with them: the central one's by its own struct, so that hopeless pairs are never made.
-    central = met.select("node", "n", F.negative("central.low").alias("pivot"))
-    second = met.where(F.xxhash64("node", "key") == F.col("other")).select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"))
-    pairs = central.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).where("u <> v")
-    pairs = pairs.union(met.select("key", "node", "n").join(second, "key").where(fits).select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")))
-    few = met.where(f"size between 4 and {SMALL}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    pairs = met.where(fits).select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
+    few = met.where(f"size between 3 and {SMALL}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
     few = few.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y"))
-    few = few.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-    return pairs.union(few).distinct(), stats.where(f"size > {SMALL}").select("key")
+    few = few.where((100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.node") != F.col("y.node")))
+    return pairs.union(few.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))).distinct()
 
 
-def table_keys(kept: DataFrame, level: int) -> DataFrame:
-    """(key, node, n, weight): the tensored table keys of (node, n, weight, a, b); level > 0: each longer by so many sub-keys of either collection."""
+def table_keys(kept: DataFrame) -> DataFrame:
+    """(key, node, n, weight): the tensored table keys of (node, n, weight, subs)."""
     made = kept.select("node", "n", "weight", "subs", F.explode(F.filter("subs", lambda s: s["k"] < COLLECTION)).alias("s"))
-    made = made.select("node", "n", "weight", "subs", "s", F.explode(F.filter("subs", lambda s: s["k"] >= COLLECTION)).alias("t"))
-    longer = []
-    for step in range(1, level + 1):
-        for side, base in (("s", 0), ("t", COLLECTION)):
-            at = (F.col(f"{side}.k") - base + step) % COLLECTION + base
-            longer.append(F.col("keys")[at])
-    if level:
-        made = made.join(kept.select("node", "keys"), "node")
-    return made.select(F.xxhash64("s.key", "t.key", *longer).alias("key"), "node", "n", "weight")
-
-
-def link_documents(docs: DataFrame, width: int = 4, percent: int = 80, depth: int = 2, seed: int = 20240) -> DataFrame:
+    made = made.select("node", "n", "weight", "s", F.explode(F.filter("subs", lambda s: s["k"] >= COLLECTION)).alias("t"))
+    return made.select(F.xxhash64("s.key", "t.key").alias("key"), "node", "n", "weight")
+
+
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(node, n, component, h) of (node, shingles, component)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                h = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
+                for at in range(0, len(h), 65_536):
+                    part = h[at : at + 65_536]
+                    same = lambda x, kind=pa.int64(), m=len(part): pa.array(np.full(m, x), kind)
+                    yield pa.RecordBatch.from_arrays([same(batch.column(0)[k].as_py()), same(len(h)), same(batch.column(2)[k].as_py()), pa.array(part)], ["node", "n", "component", "h"])
+
+    return sets.select("node", "shingles", "component").mapInArrow(run, "node long, n long, component long, h long")
+
+
+def rest_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): all pairs of different components of (node, shingles, component) that may reach ``percent``, and few others.
+
+    Let x be the smaller of two linked sets and y the larger, both in one order
+    of shingles.  They have at least percent / (100 + percent) * (|x| + |y|)
+    shingles in common, so the first common one is among the first
+    |x| - 2 * percent / (100 + percent) * |x| of x and |y| - percent / 100 * |y|
+    of y, and behind it either has as many left as they have in common.
+    """
+    each = shingle_rows(sets)
+    common = each.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    # What no other set has comes first in the order and need not be listed; what one component alone has keeps its place but links nothing.
+    listed = each.join(common.select("h", "df", (F.col("lo") != F.col("hi")).alias("useful")), "h")
+    order = F.sort_array(F.collect_list(F.struct("df", "h", "useful")))
+    listed = listed.groupBy("node", "n", "component").agg(order.alias("s")).withColumn("alone", F.col("n") - F.size("s"))
+    # A set's size class: linked sets are in one, or in neighbours.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
+    first = F.floor(F.col("n") * (100 - percent) / 100.0 + 1e-9) + 1
+    cut = F.slice("s", F.lit(1), F.greatest((first - F.col("alone")).cast("int"), F.lit(0)))
+    listed = listed.select("node", "n", "component", "alone", band.alias("band"), F.posexplode(cut).alias("at", "s")).where("s.useful")
+    listed = listed.select("node", "n", "component", "band", (F.col("alone") + F.col("at")).alias("at"), F.col("s.h").alias("h"))
+    listed = materialize(listed, "prefixes")
+    small = listed.where((100 + percent) * F.col("at") <= (100 - percent) * F.col("n")).select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("at").alias("ax"), "h", "band")
+    large = listed.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("at").alias("ay"), "h", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    left = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
+    may = ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))) & (F.col("cx") != F.col("cy"))
+    may = may & (100 * F.col("nx") >= percent * F.col("ny")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny")))
+    met = small.alias("l").join(large.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.band") == F.col("r.band")) & may)
+    pairs = materialize(met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "rest-pairs")
+    discard(listed)
+    return pairs
+
+
+def link_documents(docs: DataFrame, width: int = 4, percent: int = 80, seed: int = 20240) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked with 100 * intersection >= percent * union of their shingle sets."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(profiles(docs, width, seed), "profiles")
@@ -199,29 +246,32 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 80, depth: in
     subs = classes.select("node", F.posexplode("keys").alias("k", "key"))
     common = subs.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     kept = subs.join(common, "key").groupBy("node").agg(F.sum("df").alias("near"), F.collect_list(F.struct("k", "key")).alias("subs"))
-    kept = kept.join(classes.select("node", "copies", "keys", F.col("n_shingles").alias("n")), "node")
-    kept = materialize(kept.select("node", "n", "keys", "subs", (F.col("near") + F.lit(16) * F.col("copies")).alias("weight")), "subkeys")
-
-    links, sets, component, active = None, None, None, kept
-    for level in range(depth + 1):
-        members = table_keys(active, level)
-        pairs, large = candidate_pairs(members, percent)
-        pairs = materialize(pairs, "pairs")
-        if sets is None:
-            nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-            sets = materialize(shingle_sets(docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").dropDuplicates(["node"]), width), "sets")
-        found = confirm(pairs, sets, percent)
-        links = materialize(found if links is None else links.union(found), "links")
-        component = materialize(connected_components(links), "components")
-        if level == depth:
-            break
-        # Members of large buckets that still hold more than one component.
-        held = members.join(large, "key").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        again = members.join(mixed, "key", "left_semi").select("node").distinct()
-        active = materialize(kept.join(again, "node", "left_semi"), "mixed")
-        if active.isEmpty():
-            break
+    kept = kept.join(classes.select("node", "copies", F.col("n_shingles").alias("n")), "node")
+    kept = materialize(kept.select("node", "n", "subs", (F.col("near") + F.lit(16) * F.col("copies")).alias("weight")), "subkeys")
+
+    members = table_keys(kept)
+    stats = materialize(buckets(members), "buckets")
+    pairs = materialize(candidate_pairs(members, stats, percent), "pairs")
+    nodes = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
+    held = docs.withColumnRenamed("doc_id", "node").join(small_side(nodes, nodes.count(), 16), "node", "left_semi")
+    sets = materialize(shingle_sets(held, width), "sets")
+    links = materialize(confirm(pairs, sets, percent), "links")
+    discard(pairs, nodes)
+    component = connected_components(links)
+    # Members of larger buckets that hold more than one component.
+    large = members.join(stats.where(f"size > {SMALL}").select("key"), "key").join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rest = materialize(large.join(mixed, "key", "left_semi").select("node", "component").distinct(), "rest")
+    if not rest.isEmpty():
+        more = rest_pairs(sets.join(rest, "node"), percent)
+        found = materialize(confirm(more, sets, percent), "links")
+        discard(more)
+        if not found.isEmpty():
+            joined = component
+            component = connected_components(links.union(found))
+            discard(joined)
+        discard(found)
+    discard(kept, stats, sets, links, rest)
     by_class = classes.select("d1", "d2", "n_shingles", "node").join(component, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2", "n_shingles"], "left")
     # A null doc_id is in no class; an empty set is its own.
@@ -230,10 +280,22 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 80, depth: in
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest doc_id of its component, with all their columns; repeated rows of a doc_id are kept once.
+    """The rows of ``docs`` whose document is the smallest doc_id of its component, with all their columns.
 
-    A document without words is kept; a row with a null doc_id is kept.
+    Shingles have five words, the usual width of near-duplicate stages (op1's
+    contract has four).  Of rows that repeat a doc_id one is kept.  A document
+    without words is kept; of rows with a null doc_id one of each text.
     """
     # Rows that are kept must be known by id alone: ids to be dropped are anti-joined.
-    gone = link_documents(docs, width, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    found = link_documents(docs, width, percent).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    key = f"_marked_{uuid.uuid4().hex}"
+    marked = materialize(found.where("not kept or n > 1 or doc_id is null").select(F.col("doc_id").alias(key), F.coalesce("kept", F.lit(True)).alias("kept")), "marked")
+    n = marked.count()
+    known = docs["doc_id"].cast("long").eqNullSafe(F.col(key))
+    rest = docs.join(small_side(marked.select(key), n, 16), known, "left_anti")
+    repeated = marked.where("kept").select(key)
+    if repeated.isEmpty():
+        return rest
+    # Ids on several rows, or null: only these rows are shuffled.
+    again = docs.join(small_side(repeated, n, 16), known, "left_semi")
+    return rest.unionByName(again.where("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(again.where("doc_id is null").dropDuplicates(["text"]))

@@ -43,6 +43,47 @@ def test_neardup(spark, docs):
     assert neardup.link_documents(docs.limit(0)).count() == 0
 
 
+def components(sets, percent=80):
+    """The smallest id that each of {id: set} can reach, by comparing all pairs."""
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: find(k) for k in sets}
+
+
+def test_neardup_template_family(spark):
+    """Pairs over one template (pair similarity 0.93, across 0.77): large buckets of many components."""
+    rng = random.Random(11)
+    template, second = ([f"{x}{k}" for k in range(105)] for x in "ts")
+    texts = []
+    for k in range(150):
+        own = [f"own{k}x{j}" for j in range(15)]
+        texts += [" ".join(template + own), " ".join(template + own[:-1] + [f"other{k}"])]
+    texts += [" ".join(second[:100] + [f"n{rng.randrange(40)}" for _ in range(rng.randrange(4, 30))]) for _ in range(150)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = components({k: shingle_set(t, 4) for k, t in enumerate(texts)})
+    assert {r["doc_id"]: r["component_id"] for r in neardup.link_documents(d).collect()} == want
+    assert len(set(want.values())) > 160
+
+
+def test_drop_near_duplicates(spark):
+    long = " ".join(f"word{k % 700}" for k in range(60_000))
+    rows = [(1, long, "a"), (1, long, "a"), (2, long + " end", "b"), (3, "one two", "c"), (4, "one two", "d"), (5, None, "e"), (6, "", "f"), (None, "x y z", "g"), (None, "x y z", "h"), (None, "q", "i"), (7, None, "j")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, node string").withColumn("_m_id", F.lit(1))
+    kept = neardup.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+    assert ids == [(False, 1), (False, 3), (False, 5), (False, 6), (False, 7), (True, 0), (True, 0)]
+
+
 def test_viterbi():
     rng = np.random.default_rng(1)
     scores = rng.normal(0, 4, (300, 3)).astype(np.float32)
