@@ -29,7 +29,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"), 5, 0)
     labels = table(spark, sf_dir, "labels").where(~out).select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model).withColumn("held_out", out)
 
 

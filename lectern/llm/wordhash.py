@@ -55,9 +55,12 @@ def hash_words(data: bytes, lower: np.ndarray, delimiter: np.ndarray, power: np.
     return mix((total[end] - total[start]) * inverse[start]), start, end
 
 
-def word_batches(texts, lower: np.ndarray, delimiter: np.ndarray, block: int = BLOCK_BYTES):
+def word_batches(texts, lower: np.ndarray, delimiter: np.ndarray, block: int = BLOCK_BYTES, ends: np.ndarray | None = None):
     """Yield (first, last, hashes, bounds): texts first..last-1, and for text k its words' hashes[bounds[k]:bounds[k+1]].
 
+    ends: a table of bytes that end a sentence; then each word's sentence is
+    yielded as well, numbered through the block.
+
     A null text has no words.  Texts are joined by a space in blocks of about
     ``block`` bytes; a longer text is a block of its own, whole.
     """
@@ -72,7 +75,8 @@ def word_batches(texts, lower: np.ndarray, delimiter: np.ndarray, block: int = B
         h, start, _ = hash_words(data, lower, delimiter, power, inverse)
         begins = np.zeros(len(parts) + 1, dtype=np.int64)
         np.cumsum([len(p) + 1 for p in parts], out=begins[1:])
-        return first, last, h, np.searchsorted(start, begins)
+        found = first, last, h, np.searchsorted(start, begins)
+        return found if ends is None else (*found, np.cumsum(ends[np.frombuffer(data, dtype=np.uint8)], dtype=np.int64)[start])
 
     for k, text in enumerate(texts):
         raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
