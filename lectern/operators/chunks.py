@@ -1,78 +1,171 @@
-"""Splitting and packing of sections into chunks of bounded size."""
+"""Splitting, packing and assembly of sections into chunks of bounded size.
+
+Sizes are UTF-16 units.  Cases: sections without content have no parts but
+those of their attachments; null arrays are empty; repeated rows of a section
+are parts of their own; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ATTACHMENT_LIMIT, MARKUP_LIMIT, VISIBLE_LIMIT, raw_budget, renderable, utf16_length, visible_length
 
 
 def cut_points(text: str, budget: int) -> list[str]:
-    """Lossless parts of about ``budget`` characters, cut at the last paragraph, closing tag or line end in the last two fifths."""
+    """Lossless parts of about ``budget`` UTF-16 units, cut at the last paragraph, closing tag or line end in the last two fifths.
+
+    A hard cut that would part a surrogate pair is made before it.
+    """
+    wide = not text.isascii() and max(text) > "\uffff"
+    if wide:
+        raw = text.encode("utf-16-le", "surrogatepass")
+        text = "".join(chr(raw[k] | raw[k + 1] << 8) for k in range(0, len(raw), 2))
     parts, at = [], 0
     while at < len(text):
-        end = at + budget
-        if end >= len(text):
-            parts.append(text[at:])
-            break
-        # A mark may begin at ``end`` itself.
-        found = {mark: text.rfind(mark, 0, end + len(mark)) for mark in ("\n\n", "</", "\n")}
-        best = max(found.values())
-        if best < at + budget * 0.6:
-            cut = end
-        elif best == found["\n\n"]:
-            cut = best + 2
-        elif best == found["</"]:
-            close = text.find(">", best)
-            cut = close + 1 if 0 <= close < end else best
-        else:
-            cut = best + 1
-        cut = cut if cut > at else end
-        parts.append(text[at:cut])
-        at = cut
+        end = hard = min(len(text), at + budget)
+        if hard < len(text):
+            least = at + budget * 3 // 5
+            # A mark may begin at the hard end itself.
+            best = max(text.rfind(mark, least, hard + len(mark)) for mark in ("\n\n", "</", "\n"))
+            if best >= least:
+                if text.startswith("\n\n", best):
+                    end = best + 2
+                elif text.startswith("</", best):
+                    close = text.find(">", best + 2, hard)
+                    end = close + 1 if close >= 0 else best
+                else:
+                    end = best + 1
+            if end < len(text) and "\ud800" <= text[end - 1] <= "\udbff" and "\udc00" <= text[end] <= "\udfff":
+                end -= 1
+        parts.append(text[at:end])
+        at = end
+    if wide:
+        return [p.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass") for p in parts]
     return parts
 
 
-def split_sections(sections: DataFrame) -> DataFrame:
-    """(doc_id, ordinal, content) to (doc_id, ordinal, part, parts, content): sections over their budget are split, parts without content dropped."""
+def pieces(content: Column, budget: Column) -> Column:
+    """A section's parts; only sections over their budget go through Python."""
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series, budgets: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut_points(t, int(b)) for t, b in zip(texts, budgets)], dtype=object)
 
-    def run(batches):
-        import pyarrow as pa
+    return F.when(budget >= utf16_length(content), F.array(content)).otherwise(split(F.when(budget < utf16_length(content), content), budget))
 
-        for batch in batches:
-            made = [cut_points(t, b) for t, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.string()))], ["doc_id", "ordinal", "pieces"])
 
+def split_sections(sections: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, content) to (doc_id, ordinal, part, parts, content): sections over their budget are split, parts without content dropped."""
     rows = sections.where(F.col("content").isNotNull()).select("doc_id", "ordinal", "content", raw_budget(F.col("content")).alias("budget"))
-    # Most sections fit: only the others go through Python.
+    # Apart, so that sections that fit never wait for Python.
     fits = F.col("budget") >= utf16_length(F.col("content"))
     short = rows.where(fits).select("doc_id", "ordinal", F.lit(1).alias("part"), F.lit(1).alias("parts"), "content")
-    long = rows.where(~fits).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), "content", "budget").mapInArrow(run, "doc_id long, ordinal long, pieces array<string>")
-    long = long.select("doc_id", "ordinal", F.size("pieces").alias("parts"), F.posexplode("pieces").alias("p", "content")).select("doc_id", "ordinal", (F.col("p") + 1).alias("part"), "parts", "content")
+    long = rows.where(~fits).select("doc_id", "ordinal", pieces(F.col("content"), F.col("budget")).alias("p"))
+    long = long.select("doc_id", "ordinal", F.size("p").alias("parts"), F.posexplode("p").alias("at", "content")).select("doc_id", "ordinal", (F.col("at") + 1).alias("part"), "parts", "content")
     return short.unionByName(long).where(renderable(F.col("content")))
 
 
-def pack_sections(parts: DataFrame) -> DataFrame:
-    """Adds chunk (from 0) to (doc_id, ordinal, part, markup, visible, attachments): next fit under three limits.
+def groups(values: Column, size: int) -> Column:
+    """An array cut into runs of ``size``."""
+    starts = F.sequence(F.lit(0), F.size(values) - 1, F.lit(size))
+    return F.when(F.size(values) > 0, F.transform(starts, lambda i: F.slice(values, i + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
 
-    A document's parts meet as sizes only, never as texts; a part over a limit
-    is a chunk of its own.
-    """
-    item = F.struct("ordinal", "part", F.col("markup").cast("long").alias("markup"), F.col("visible").cast("long").alias("visible"), F.col("attachments").cast("long").alias("attachments"))
-    rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("chunk"), zero.alias("m"), zero.alias("v"), zero.alias("a"), F.array().cast("array<long>").alias("chunks"))
 
-    def step(s, x):
-        full = (F.size(s["chunks"]) > 0) & ((s["m"] + x["markup"] > MARKUP_LIMIT) | (s["v"] + x["visible"] > VISIBLE_LIMIT) | (s["a"] + x["attachments"] > ATTACHMENT_LIMIT))
-        chunk = F.when(full, s["chunk"] + 1).otherwise(s["chunk"])
-        add = lambda k, n: F.when(full, x[n]).otherwise(s[k] + x[n])
-        return F.struct(chunk.alias("chunk"), add("m", "markup").alias("m"), add("v", "visible").alias("v"), add("a", "attachments").alias("a"), F.array_append(s["chunks"], chunk).alias("chunks"))
+def known_assets(sections: DataFrame, assets: DataFrame) -> DataFrame:
+    """doc_id, ordinal, known: a section's assets (id, path) in its order; ids that no asset has are dropped."""
+    named = sections.select("doc_id", "ordinal", F.posexplode("asset_ids").alias("at", "id"))
+    met = named.join(assets.select("doc_id", "id", "path"), ["doc_id", "id"])
+    rows = F.array_sort(F.collect_list(F.struct("at", "id", "path")))
+    return met.groupBy("doc_id", "ordinal").agg(F.transform(rows, lambda x: F.struct(x["id"].alias("id"), x["path"].alias("path"))).alias("known"))
 
-    rows = rows.select("doc_id", "items", F.aggregate("items", start, step, lambda s: s["chunks"]).alias("chunks"))
-    return rows.select("doc_id", F.explode_outer(F.arrays_zip("items", "chunks")).alias("z")).select("doc_id", "z.items.*", F.col("z.chunks").alias("chunk"))
+
+def normalise_sections(sections: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """Parts of (doc_id, ordinal, id, label, content, attachments, asset_ids), with part, parts, and the assets of their attachments.
+
+    Part i has the i-th piece of text and the i-th group of attachments; parts
+    without either go, and the others keep their numbers.
+    """
+    rows = sections.withColumns({"content": F.coalesce("content", F.lit("")), "attachments": F.array_distinct(F.coalesce("attachments", F.array().cast("array<string>"))), "asset_ids": F.coalesce("asset_ids", F.array().cast("array<string>"))})
+    if assets is None:
+        rows = rows.withColumn("known", F.transform(F.array().cast("array<string>"), lambda x: F.struct(x.alias("id"), x.alias("path"))))
+    else:
+        rows = rows.join(known_assets(rows, assets), ["doc_id", "ordinal"], "left")
+    rows = rows.withColumn("p", pieces(F.col("content"), raw_budget(F.col("content")))).withColumn("g", groups(F.col("attachments"), ATTACHMENT_LIMIT))
+    rows = rows.withColumn("parts", F.greatest(F.lit(1), F.size("p"), F.size("g")))
+    rows = rows.select("doc_id", "ordinal", "id", "label", "p", "g", "known", "parts", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
+    own, many = F.col("part") - 1, F.col("parts") > 1
+    rows = rows.select(
+        "doc_id",
+        "ordinal",
+        "part",
+        "parts",
+        F.when(many, F.concat("id", F.lit("-part-"), F.col("part").cast("string"))).otherwise(F.col("id")).alias("id"),
+        F.when(many, F.format_string("%s (part %d of %d)", "label", "part", "parts")).otherwise(F.col("label")).alias("label"),
+        F.coalesce(F.get("p", own), F.lit("")).alias("content"),
+        F.coalesce(F.get("g", own), F.array().cast("array<string>")).alias("attachments"),
+        "known",
+    )
+    rows = rows.withColumn("asset_ids", F.coalesce(F.transform(F.filter("known", lambda x: F.array_contains("attachments", x["path"])), lambda x: x["id"]), F.array().cast("array<string>"))).drop("known")
+    return rows.where((F.size("attachments") > 0) | renderable(F.col("content")))
 
 
 def sized(parts: DataFrame) -> DataFrame:
-    return parts.select("doc_id", "ordinal", "part", utf16_length(F.col("content")).alias("markup"), visible_length(F.col("content")).alias("visible"), F.lit(0).alias("attachments"))
+    attachments = F.size("attachments") if "attachments" in parts.columns else F.lit(0)
+    return parts.select("doc_id", "ordinal", "part", utf16_length(F.col("content")).alias("markup"), visible_length(F.col("content")).alias("visible"), attachments.alias("attachments"))
+
+
+def pack_sections(parts: DataFrame, markup: str = "markup", visible: str = "visible", attachments: str = "attachments") -> DataFrame:
+    """Adds chunk (from 0) to rows with doc_id, ordinal, part and three sizes: next fit under three limits, in order of a document.
+
+    A part over a limit is a chunk of its own.  Rows are dealt out and sorted by
+    document and pass one by one; only three sums are held.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StructType
+
+    schema = StructType(parts.schema.fields).add("chunk", LongType())
+    kind = to_arrow_schema(schema)
+    columns = [parts.columns.index(c) for c in ("doc_id", markup, visible, attachments)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        doc, first, chunk, m, v, a = None, True, 0, 0, 0, 0
+        for batch in batches:
+            out = []
+            for d, dm, dv, da in zip(*(batch.column(k).to_pylist() for k in columns)):
+                if first or d != doc:
+                    doc, first, chunk, m, v, a = d, False, 0, dm, dv, da
+                elif m + dm > MARKUP_LIMIT or v + dv > VISIBLE_LIMIT or a + da > ATTACHMENT_LIMIT:
+                    chunk, m, v, a = chunk + 1, dm, dv, da
+                else:
+                    m, v, a = m + dm, v + dv, a + da
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], schema=kind)
+
+    return parts.repartition("doc_id").sortWithinPartitions("doc_id", "ordinal", "part").mapInArrow(run, schema)
+
+
+def assemble_chunks(parts: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """doc_id, chunk, total, sections (id, label, content, attachments, asset_ids), attachments, assets (id, mime, filename, path, alt, source_url).
+
+    parts: rows of ``normalise_sections``.  A chunk's assets are those that its
+    sections name, in the document's order.
+    """
+    sizes = {"_m": utf16_length(F.col("content")), "_v": visible_length(F.col("content")), "_a": F.size("attachments")}
+    packed = pack_sections(parts.withColumns(sizes), "_m", "_v", "_a")
+    section = F.struct("ordinal", "part", "id", "label", "content", "attachments", "asset_ids")
+    # One exchange by document serves both the grouping and the count.
+    rows = packed.repartition("doc_id").groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(section)).alias("s"))
+    rows = rows.withColumn("total", F.count("*").over(Window.partitionBy("doc_id")))
+    rows = rows.withColumn("sections", F.transform("s", lambda x: F.struct(*[x[c].alias(c) for c in ("id", "label", "content", "attachments", "asset_ids")])))
+    rows = rows.withColumn("attachments", F.array_distinct(F.flatten("sections.attachments"))).drop("s")
+    if assets is None:
+        return rows
+    fields = ["id", "mime", "filename", "path", "alt", "source_url"]
+    named = rows.select("doc_id", "chunk", F.explode(F.array_distinct(F.flatten("sections.asset_ids"))).alias("id"))
+    met = named.join(assets.select("doc_id", F.col("ordinal").alias("at"), *fields), ["doc_id", "id"]).groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", *fields))).alias("a"))
+    met = met.select("doc_id", "chunk", F.transform("a", lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("assets"))
+    return rows.join(met, ["doc_id", "chunk"], "left")

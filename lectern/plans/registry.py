@@ -51,9 +51,9 @@ def _(d):
     return d.select("page_id", T.public_url(F.col("url")).alias("is_public"))
 
 
-@query("url_01_safe_url", "pages", f"""SELECT page_id, CASE WHEN regexp_matches(lower(b), '^(https?|file)://|^mailto:') THEN
+@query("url_01_safe_url", "pages", f"""SELECT page_id, CASE WHEN regexp_matches(lower(b), '^https?://|^(file|mailto):') THEN
  substr(regexp_extract(b, '^([^?#]*)', 1) || CASE WHEN q <> '' THEN '?' || q ELSE '' END || regexp_extract(b, '(#.*)$', 1), 1, 4096) END AS safe_url
-FROM (SELECT page_id, b, array_to_string(list_filter(string_split(regexp_extract(b, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '(?i)^(utm_.*|fbclid|gclid|dclid|mc_cid|mc_eid)$')), '&') AS q
+FROM (SELECT page_id, b, array_to_string(list_filter(string_split(regexp_extract(b, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '(?i)^(utm_.+|fbclid|gclid|dclid|mc_cid|mc_eid)$')), '&') AS q
  FROM (SELECT page_id, regexp_replace({_trim('url')}, '^([A-Za-z]+://)[^/@?#]*@', '\\1') AS b FROM pages))""")
 def _(d):
     return d.select("page_id", T.safe_url(F.col("url")).alias("safe_url"))
@@ -84,7 +84,7 @@ def _(d):
     return d.select("item_id", T.table_cell(F.col("text")).alias("cell"))
 
 
-@query("flt_01_renderable", "pages", f"SELECT page_id FROM pages WHERE {_trim("regexp_replace(html, '<[^>]*>', '', 'g')")} <> '' OR regexp_matches(html, '(?i)<(hr|img|ree-image)\\b')")
+@query("flt_01_renderable", "pages", f"SELECT page_id FROM pages WHERE {_trim("regexp_replace(html, '<[^>]*>', '', 'g')")} <> '' OR regexp_matches(html, '(?i)<(hr|img|lectern-image)\\b')")
 def _(d):
     return d.where(T.renderable(F.col("html"))).select("page_id")
 
@@ -139,9 +139,9 @@ def _(d):
     return html.pages_to_bundles(d).select("page_id", "title", F.to_json("metadata").alias("metadata"))
 
 
-@query("dom_19_markers", "documents", "SELECT doc_id, list_distinct(regexp_extract_all(text, '\\[\\[REE_IMAGE:(image-\\d{3,})\\]\\]', 1)) AS markers FROM documents WHERE text IS NOT NULL")
+@query("dom_19_markers", "documents", "SELECT doc_id, list_distinct(regexp_extract_all(text, '\\[\\[LECTERN_IMAGE:(image-\\d{3,})\\]\\]', 1)) AS markers FROM documents WHERE text IS NOT NULL")
 def _(d):
-    return d.where("text is not null").select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[\[REE_IMAGE:(image-\d{3,})\]\]"), 1)).alias("markers"))
+    return d.where("text is not null").select("doc_id", html.markers(F.col("text")).alias("markers"))
 
 
 @query("agg_01_bytes", "documents", "SELECT source, sum(octet_length(encode(text)))::BIGINT AS source_bytes, count(*) AS sections FROM documents GROUP BY source")
@@ -223,11 +223,6 @@ ORACLE_SQL |= {
 }
 
 
-@query("str_02_reassembly", "conversations", "SELECT conv_id, count(*) AS pieces, sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) = max(turn) + 1 AND min(turn) = 0 AS complete FROM conversations GROUP BY conv_id")
-def _(d):
-    return d.groupBy("conv_id").agg(F.count("*").alias("pieces"), F.sum(F.octet_length("text")).alias("bytes"), ((F.count("*") == F.max("turn") + 1) & (F.min("turn") == 0)).alias("complete"))
-
-
 @query("hash_01_sha256", "pages", "SELECT page_id, sha256(html) AS digest FROM pages")
 def _(d):
     return d.select("page_id", F.sha2("html", 256).alias("digest"))

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from lectern.operators import chunks, html
-from lectern.plans import registry
+from lectern.plans import more, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,22 +22,3 @@ def test_query(spark, name):
         made = con.execute(registry.ORACLE_SQL[name])
         at = [[c[0] for c in made.description].index(c) for c in columns]
         assert rows == sorted(str(tuple(r[i] for i in at)) for r in made.fetchall())
-
-
-def test_cut_points():
-    text = "a" * 70 + "\n\n" + "b" * 200
-    parts = chunks.cut_points(text, 100)
-    assert "".join(parts) == text and parts[0] == "a" * 70 + "\n\n" and len(parts[1]) == 100
-
-
-def test_pack_limits(spark):
-    parts = spark.createDataFrame([(1, 1, 1, 100_000, 10, 0), (1, 2, 1, 30_000, 10, 0), (1, 3, 1, 10, 10, 20), (1, 4, 1, 10, 10, 1)], "doc_id long, ordinal long, part int, markup int, visible int, attachments int")
-    assert [r["chunk"] for r in chunks.pack_sections(parts).orderBy("ordinal").collect()] == [0, 1, 1, 2]
-
-
-def test_html():
-    title, meta, sections = html.parse('<html lang="en"><head><title> A  b </title><meta name="author" content="Z"></head><body>\n<h1>Hi</h1><script>x</script><p hidden>no</p><div><custom>t</custom> <b onclick="x" id="k">u</b></div>tail</body>')
-    assert title == "A b" and dict(meta) == {"title": "A b", "language": "en", "author": "Z"}
-    assert [s[2] for s in sections] == ["<h1>Hi</h1>", '<div>t <b id="k">u</b></div>', "tail"]
-    assert sections[0][:2] == ("page-section-001", "Hi")
-    assert html.parse("")[2] == [("page-section-001", "Page content", "")]
