@@ -153,6 +153,6 @@ def confined(path: Column, root: str) -> Column:
 
 
 def write_editions(editions: DataFrame, path: str) -> None:
-    """The content of each edition as one text file in a folder of its doc_id, by Spark's committer: a lost task leaves nothing half written."""
-    rows = editions.where(F.col("content").isNotNull()).select("doc_id", F.col("content").alias("value"))
-    rows.write.mode("overwrite").partitionBy("doc_id").option("lineSep", "").text(path)
+    """The content of each edition as one text file in a folder of its doc_id, by Spark's committer: a lost task leaves nothing half written.  An edition ends with one line end, which the writer adds."""
+    rows = editions.where(F.col("content").isNotNull()).select("doc_id", F.regexp_replace("content", "\n\\z", "").alias("value"))
+    rows.write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(path)
