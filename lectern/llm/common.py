@@ -67,3 +67,15 @@ def discard(*frames: DataFrame | None) -> None:
 def small_side(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows, of ``width`` bytes each at most, allow it; else with one for a merge join."""
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df.hint("merge")
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: idle workers wait beside the next stage's tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -16,7 +16,8 @@ Cases: a null text, or one without letters, is ``und`` with score 0 and no
 spans.  Without labelled rows every document is ``und``.  A word in a script
 that no learned language is written in may be of any.  Ties go to the
 language that sorts first.  Repeated rows are labelled each; other columns are
-ignored, whatever their names.
+ignored, whatever their names.  A text is labelled whole, however long.  Of
+more than LANGUAGES values of lang the commonest are learned.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 from .tokens import _held
 
 SAMPLE_ROWS = 20_000
+#: Languages that a model learns: the commonest, where a table has more values of lang.
+LANGUAGES = 512
 BUCKETS = 1 << 15
 #: Cost of a switch, and the most by which a word may speak for a language, in nats.
 SWITCH, MOST = 8.0, 5.0
 #: Words in a block; code points taken at once.
-BLOCK, AT_ONCE = 64, 1 << 19
+BLOCK, AT_ONCE = 64, 1 << 18
 #: First and last code point of scripts (fixed values: Unicode blocks).
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -46,19 +49,19 @@ SCRIPTS = {
     "thai": [(0xE00, 0xE7F)],
     "kana": [(0x3040, 0x30FF)],
     "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
-    "han": [(0x3400, 0x9FFF), (0xF900, 0xFAFF)],
+    "han": [(0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
 }
 OTHER = len(SCRIPTS) + 1
 
 
 def letter_tables():
-    """(script number of each BMP code point: 0 no letter; its lower case)."""
+    """(script number of each code point: 0 no letter; its lower case)."""
 
     def make():
         import unicodedata
 
-        script, lower = np.zeros(1 << 16, dtype=np.uint8), np.arange(1 << 16, dtype=np.uint32)
-        for cp in range(1 << 16):
+        script, lower = np.zeros(0x110000, dtype=np.uint8), np.arange(0x110000, dtype=np.uint32)
+        for cp in range(0x110000):
             ch = chr(cp)
             if unicodedata.category(ch)[0] == "L":
                 script[cp] = OTHER
@@ -78,10 +81,8 @@ def words_of(texts: list[str | None]):
     parts = [(t or "").encode("utf-32-le", "surrogatepass") + b"\n\0\0\0" for t in texts]
     cp = np.frombuffer(b"".join(parts), dtype=np.uint32)
     begins = np.cumsum([0, *(len(p) // 4 for p in parts)])
-    low = np.minimum(cp, 0xFFFF)
-    # Beyond the basic plane every code point from 0x20000 on is an ideograph, the rest no letter.
-    script = np.where(cp > 0xFFFF, np.where(cp >= 0x20000, list(SCRIPTS).index("han") + 1, 0), script_of[low]).astype(np.uint8)
-    c = np.where(cp > 0xFFFF, cp, lower_of[low]).astype(np.uint64)
+    script = script_of[cp]
+    c = lower_of[cp].astype(np.uint64)
     inside = np.zeros(len(cp) + 2, dtype=bool)
     inside[1:-1] = script > 0
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -113,11 +114,16 @@ def blocks_of(texts: list[str | None]):
         yield first, len(texts)
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS):
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES):
     """(languages, BUCKETS x languages log-likelihoods, scripts x languages candidates) from (text, lang)."""
     bounded_batches(labelled.sparkSession)
     labelled = labelled.where("text is not null and lang is not null")
-    total = labelled.count()
+    labelled = labelled.withColumn("lang", F.col("lang").cast("string"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    total, values = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if values > languages:
+        known = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()]
+        labelled = labelled.where(F.col("lang").isin(known))
     share = min(1.0, sample_rows / max(total, 1))
     sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
 
@@ -187,12 +193,12 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
     rows = np.arange(total)
     value = np.full((total, k), -np.inf, dtype=np.float32)
     value[rows, entry] = 0
-    back = np.zeros((BLOCK, total, k), dtype=np.int8)
+    back = np.zeros((BLOCK, total, k), dtype=np.int32)
     for t in range(BLOCK):
         reach = value[:, :, None] + step
         back[t] = reach.argmax(axis=1)
         value = reach.max(axis=1) + padded[:, t]
-    path = np.zeros((total, BLOCK), dtype=np.int8)
+    path = np.zeros((total, BLOCK), dtype=np.int32)
     now = leave.copy()
     for t in range(BLOCK - 1, -1, -1):
         path[:, t] = now
@@ -234,6 +240,7 @@ def identify(docs: DataFrame, model, with_spans: bool = False, switch: float = S
                 if with_spans:
                     out.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "spans"][: len(out)])
+        give_back()
 
     kind = "doc_id long, lang_pred string, score double" + ", spans array<struct<start: long, end: long, lang: string>>" * with_spans
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
