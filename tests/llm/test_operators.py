@@ -111,6 +111,18 @@ def test_language(spark):
     assert langid.identify(d, langid.fit(d.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_far_letters_and_many_languages(spark):
+    rows = [(k, chr(0x61 + k % 26) * 3 + chr(0x61 + k // 26) * 4 + " " + chr(0x3B1 + k % 20) * 2, f"l{k:03d}") for k in range(200)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(d, model).collect()}
+    assert len(model[0]) == 200 and all(x in model[0] for x in found.values())
+    odd = spark.createDataFrame([(1, "\U0001D400 \U0001D401"), (2, "123 \U000E0100\U000E0041"), (3, "word " * 3_000), (3, "word")], "doc_id long, text string")
+    got = [(r["doc_id"], r["lang_pred"] == "und") for r in langid.identify(odd, model).orderBy("doc_id").collect()]
+    assert got == [(1, False), (2, True), (3, False), (3, False)]
+    assert len(langid.fit(d, languages=5)[0]) == 5
+
+
 def test_line_dedup(spark):
     shared = "\n".join(f"shared line number {k} here" for k in range(12))
     texts = [f"a{k}\nb{k}\n{shared}\nc{k}" for k in range(4)] + [None, "", "\n\n\n", "\n\n\n", "solo\nx"]
@@ -265,6 +277,23 @@ def test_url_filter(spark):
     assert [found[k]["verdict"] for k in (1, 2, 3, 7, 5)] == ["allow", "block", "block", "allow", "allow"] and found[5]["host"] == found[6]["path"] == ""
 
 
+def test_url_rules_are_mined_from_other_tokens(spark):
+    """The fixed rules' own tokens (en) judge nothing else; 25 tokens that always come together make no 2^25 patterns."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        bad = k % 3 == 0
+        word = rng.choice(["pills", "casino"] if bad and rng.random() < 0.9 else ["news", "blog"])
+        host = f"{word}.example.com" if bad else "www.example.com"
+        rows.append((k, f"http://{host}/en/{word}/a1/b2/c3/d4/e5/f6/g7/h8/i9/j10/k11/l12/m13/n14/o15/p16/q17/r18/s19/t20/u21/v22/w23"))
+    rows += [(1000, "http://x.org/pills/1"), (1001, "http://x.org/news/1"), (1002, "http://x.org/en/1"), (1003, "http://example.org/" + "long/" * 20_000)] * 2
+    d = spark.createDataFrame(rows, "page_id long, url string").withColumn("token", F.lit("t"))
+    found = {r["page_id"]: r for r in urlfilter.judge(d).collect()}
+    assert [found[k]["verdict"] for k in (1000, 1001, 1002, 1003)] == ["block", "allow", "allow", "allow"]
+    assert all("pills" in x for x in found[1000]["matched"])
+    assert found[0]["rule"] and urlfilter.judge(d.limit(0)).count() == 0
+
+
 def test_chat(spark):
     rng = random.Random(7)
     rows = [(c, t, rng.choice(["system", "user", "assistant", "human", None, "x"]), "hi") for c in range(12) for t in range(7)]
