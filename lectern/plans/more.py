@@ -270,13 +270,15 @@ def _paragraphs(d: DataFrame) -> DataFrame:
 
 
 _LINES = "SELECT doc_id, i - 1 AS i, content, ((i - 1) % 7) * ((i - 1) % 5) AS a FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS content FROM documents WHERE text IS NOT NULL)"
-_PARTS = f"SELECT doc_id, i, k, content, a, greatest(1, ceil(a / 20.0))::BIGINT AS parts FROM (SELECT *, unnest(generate_series(1, greatest(1, ceil(a / 20.0))::BIGINT)) AS k FROM ({_LINES}))"
-_KEPT = f"SELECT doc_id, i + 1 AS ordinal, k AS part, parts, CASE WHEN k = 1 THEN content ELSE '' END AS content, least(20, a - 20 * (k - 1)) AS attached FROM ({_PARTS}) WHERE a - 20 * (k - 1) > 0 OR (k = 1 AND {_trim('content')} <> '')"
+# A line has no place to cut at but its budget's end.
+_BUDGET = f"least(120000, greatest(4000, floor(30000 / greatest({_visible('content')} / greatest(1, {_utf16('content')}), 0.01))))::BIGINT"
+_PARTS = f"SELECT *, unnest(generate_series(1, parts)) AS k FROM (SELECT *, greatest(1, ceil(a / 20.0), ceil(length(content) / b))::BIGINT AS parts FROM (SELECT *, {_BUDGET} AS b FROM ({_LINES})))"
+_PIECE = "substr(content, (k - 1) * b + 1, b)"
+_KEPT = f"SELECT doc_id, i + 1 AS ordinal, k AS part, parts, {_PIECE} AS content, greatest(0, least(20, a - 20 * (k - 1))) AS attached FROM ({_PARTS}) WHERE a - 20 * (k - 1) > 0 OR {_trim(_PIECE)} <> ''"
 
 
 @query("chk_04_parts", "documents", f"SELECT doc_id, ordinal, part::INT AS part, 's-' || CASE WHEN ordinal < 1000 THEN lpad(ordinal::VARCHAR, 3, '0') ELSE ordinal::VARCHAR END || CASE WHEN parts > 1 THEN '-part-' || part ELSE '' END AS id, 'Section ' || ordinal || CASE WHEN parts > 1 THEN ' (part ' || part || ' of ' || parts || ')' ELSE '' END AS label, md5(content) AS digest, attached::INT AS attached FROM ({_KEPT})")
 def _(d):
-    # These lines stay under their budget: what is cut are their attachments.
     made = chunks.normalise_sections(_paragraphs(d))
     return made.select("doc_id", "ordinal", "part", "id", "label", F.md5("content").alias("digest"), F.size("attachments").alias("attached"))
 
