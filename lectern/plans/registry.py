@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunks, html
+from ..operators import chunks, html, ranks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -191,8 +191,8 @@ def _(d):
 @query("ord_01_natural", "supplier", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier")
 def _(d):
     # One global order: the key sorts like the number in the name.
-    ranked = d.select("s_suppkey", T.natural_key(F.concat(F.lit("img"), F.col("s_suppkey").cast("string"), F.lit(".png"))).alias("key"))
-    return ranked.select("s_suppkey", F.row_number().over(Window.orderBy("key")).cast("long").alias("place"))
+    keyed = d.select("s_suppkey", T.natural_key(F.concat(F.lit("img"), F.col("s_suppkey").cast("string"), F.lit(".png"))).alias("key"))
+    return ranks.ranked(keyed, "key", "place").drop("key")
 
 
 @query("ord_06_tail", "documents", "SELECT doc_id, right(text, 2000) AS tail FROM documents")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunks, extraction, figures, html, images, prompts, render, report, urls
+from lectern.operators import chunks, extraction, figures, html, images, prompts, ranks, render, report, urls
 from lectern.sources import files
 from lectern.streaming import events, uploads
 
@@ -327,6 +327,16 @@ def test_natural_order(spark):
     assert [r["n"] for r in d.collect()] == ["Éa", "eb", "img1", "img2", "img02b", "IMG10"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 500, 6000])
+def test_ranked(spark, n):
+    rng = random.Random(n)
+    rows = [(k, rng.choice([None, "", *(f"k{rng.randrange(n * 2):05}" for _ in range(20))])) for k in range(n)]
+    d = spark.createDataFrame(rows, "id long, k string").withColumn("_range", F.lit(1))
+    found = sorted((r["place"], r["k"]) for r in ranks.ranked(d, "k", "place").collect() if r["_range"] == 1 and r["k"] is not None)
+    nulls = sum(k is None for _, k in rows)
+    assert [p for p, _ in found] == list(range(nulls + 1, n + 1)) and [k for _, k in found] == sorted(k for _, k in rows if k is not None)
+
+
 def test_render(spark):
     r = render.render
     assert r("# A *b*\n\nc **d** `<e>` [f](http://g/ \"h\") <i>") == '<h1>A <em>b</em></h1>\n<p>c <strong>d</strong> <code>&lt;e&gt;</code> <a href="http://g/" title="h">f</a> &lt;i&gt;</p>\n'
