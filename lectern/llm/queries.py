@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, linededup, neardup, neighbours, packing, token_counts, toxicity, urlfilter
+from . import chat, decontaminate, langid, linededup, neardup, neighbours, packing, recipes, token_counts, toxicity, urlfilter
 from .common import table
 
 
@@ -57,7 +57,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_language_id, op3_line_dedup, op4_toxicity, op5_neighbours, op6_decontaminate, op7_packing, op8_url_filter, op9_chat_format, op10_token_counts)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.equal_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_language_id, op3_line_dedup, op4_toxicity, op5_neighbours, op6_decontaminate, op7_packing, op8_url_filter, op9_chat_format, op10_token_counts, op11_exact_dedup)}
 
 #: Chunks are compared as texts here; the engine compares hashes first.
 ORACLE_SQL = {
@@ -73,4 +77,8 @@ SELECT doc_id, sum(n)::BIGINT AS lines_in, coalesce(sum(n) FILTER (WHERE NOT gon
        md5(coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_md5
 FROM k GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL""",
+    "op11_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+WINDOW w AS (PARTITION BY t)""",
 }
