@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as JavaScript's \s has it (fixed value).
-SPACE = "[\\t\\n\\x0B\\f\\r \\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+_SPACES = "\\t\\n\\x0B\\f\\r \\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+SPACE = f"[{_SPACES}]"
+_SPACES_BUT_ONE = _SPACES.replace(" ", "")
 MARKUP_LIMIT, VISIBLE_LIMIT, ATTACHMENT_LIMIT = 120_000, 30_000, 20
+#: The smallest budget of a section's part.
+LEAST_BUDGET = 4000
 #: Query parameters that safe urls lose (fixed value).
 TRACKING = "(?i)^(utm_.+|fbclid|gclid|dclid|mc_cid|mc_eid)$"
 #: The element and the marker that stand for an image in a section's markup, and the ids they hold.
@@ -28,13 +32,29 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with ``value`` computed once: as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _compacted(c: Column) -> Column:
+    # A lone space is left as it is; once all runs are one space, plain trimming is enough.
+    ascii_only = F.regexp_replace(c, "[\\t-\\r][\\t-\\r ]*| [\\t-\\r ]+", " ")
+    return F.trim(F.when(F.octet_length(c) == F.char_length(c), ascii_only).otherwise(F.regexp_replace(c, f"[{_SPACES_BUT_ONE}]{SPACE}*| {SPACE}+", " ")))
+
+
 def compact(c: Column) -> Column:
     """Runs of white space become one space, ends are trimmed, null is empty."""
-    return trimmed(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}+", " "))
+    return let(F.coalesce(c, F.lit("")), _compacted)
+
+
+def _units(c: Column) -> Column:
+    return F.when(F.octet_length(c) == F.char_length(c), F.char_length(c)).otherwise((F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int"))
 
 
 def utf16_length(c: Column) -> Column:
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    """Characters, and one more for each beyond the basic plane, which only texts with other than ASCII can hold."""
+    return let(c, _units)
 
 
 def visible_length(markup: Column) -> Column:
@@ -45,11 +65,16 @@ def visible_length(markup: Column) -> Column:
 def raw_budget(markup: Column) -> Column:
     """Markup characters that should hold VISIBLE_LIMIT visible ones at this section's density."""
     density = visible_length(markup) / F.greatest(F.lit(1), utf16_length(markup))
-    return F.least(F.lit(MARKUP_LIMIT), F.greatest(F.lit(4000), F.floor(VISIBLE_LIMIT / F.greatest(density, F.lit(0.01))))).cast("int")
+    return F.least(F.lit(MARKUP_LIMIT), F.greatest(F.lit(LEAST_BUDGET), F.floor(VISIBLE_LIMIT / F.greatest(density, F.lit(0.01))))).cast("int")
+
+
+def within_budget(markup: Column) -> Column:
+    """Whether a section needs no cut; the budget is computed only where it may decide."""
+    return F.when(utf16_length(markup) <= LEAST_BUDGET, F.lit(True)).otherwise(raw_budget(markup) >= utf16_length(markup))
 
 
 def renderable(markup: Column) -> Column:
-    return F.coalesce((trimmed(F.regexp_replace(markup, "<[^>]*>", "")) != "") | markup.rlike(f"(?i)<(hr|img|{IMAGE_TAG})\\b"), F.lit(False))
+    return F.coalesce(F.regexp_replace(markup, "<[^>]*>", "").rlike(f"[^{_SPACES}]") | markup.rlike(f"(?i)<(hr|img|{IMAGE_TAG})\\b"), F.lit(False))
 
 
 def normalised_output(raw: Column) -> Column:

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ATTACHMENT_LIMIT, MARKUP_LIMIT, VISIBLE_LIMIT, raw_budget, renderable, utf16_length, visible_length
+from ..functions.text import ATTACHMENT_LIMIT, MARKUP_LIMIT, VISIBLE_LIMIT, raw_budget, renderable, utf16_length, visible_length, within_budget
+from .nextfit import packed
 
 
 def cut_points(text: str, budget: int) -> list[str]:
@@ -47,24 +48,21 @@ def cut_points(text: str, budget: int) -> list[str]:
     return parts
 
 
-def pieces(content: Column, budget: Column) -> Column:
-    """A section's parts; only sections over their budget go through Python."""
+def pieces(content: Column) -> Column:
+    """A section's parts; only the text of sections over their budget goes through Python."""
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series, budgets: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut_points(t, int(b)) for t, b in zip(texts, budgets)], dtype=object)
 
-    return F.when(budget >= utf16_length(content), F.array(content)).otherwise(split(F.when(budget < utf16_length(content), content), budget))
+    fits = within_budget(content)
+    return F.when(fits, F.array(content)).otherwise(split(F.when(~fits, content), F.when(~fits, raw_budget(content))))
 
 
 def split_sections(sections: DataFrame) -> DataFrame:
     """(doc_id, ordinal, content) to (doc_id, ordinal, part, parts, content): sections over their budget are split, parts without content dropped."""
-    rows = sections.where(F.col("content").isNotNull()).select("doc_id", "ordinal", "content", raw_budget(F.col("content")).alias("budget"))
-    # Apart, so that sections that fit never wait for Python.
-    fits = F.col("budget") >= utf16_length(F.col("content"))
-    short = rows.where(fits).select("doc_id", "ordinal", F.lit(1).alias("part"), F.lit(1).alias("parts"), "content")
-    long = rows.where(~fits).select("doc_id", "ordinal", pieces(F.col("content"), F.col("budget")).alias("p"))
-    long = long.select("doc_id", "ordinal", F.size("p").alias("parts"), F.posexplode("p").alias("at", "content")).select("doc_id", "ordinal", (F.col("at") + 1).alias("part"), "parts", "content")
-    return short.unionByName(long).where(renderable(F.col("content")))
+    rows = sections.where(F.col("content").isNotNull()).select("doc_id", "ordinal", pieces(F.col("content")).alias("p"))
+    rows = rows.select("doc_id", "ordinal", F.size("p").alias("parts"), F.posexplode("p").alias("at", "content"))
+    return rows.select("doc_id", "ordinal", (F.col("at") + 1).alias("part"), "parts", "content").where(renderable(F.col("content")))
 
 
 def groups(values: Column, size: int) -> Column:
@@ -92,7 +90,7 @@ def normalise_sections(sections: DataFrame, assets: DataFrame | None = None) ->
         rows = rows.withColumn("known", F.transform(F.array().cast("array<string>"), lambda x: F.struct(x.alias("id"), x.alias("path"))))
     else:
         rows = rows.join(known_assets(rows, assets), ["doc_id", "ordinal"], "left")
-    rows = rows.withColumn("p", pieces(F.col("content"), raw_budget(F.col("content")))).withColumn("g", groups(F.col("attachments"), ATTACHMENT_LIMIT))
+    rows = rows.withColumn("p", pieces(F.col("content"))).withColumn("g", groups(F.col("attachments"), ATTACHMENT_LIMIT))
     rows = rows.withColumn("parts", F.greatest(F.lit(1), F.size("p"), F.size("g")))
     rows = rows.select("doc_id", "ordinal", "id", "label", "p", "g", "known", "parts", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
     own, many = F.col("part") - 1, F.col("parts") > 1
@@ -113,39 +111,18 @@ def normalise_sections(sections: DataFrame, assets: DataFrame | None = None) ->
 
 def sized(parts: DataFrame) -> DataFrame:
     attachments = F.size("attachments") if "attachments" in parts.columns else F.lit(0)
-    return parts.select("doc_id", "ordinal", "part", utf16_length(F.col("content")).alias("markup"), visible_length(F.col("content")).alias("visible"), attachments.alias("attachments"))
+    sizes = F.struct(utf16_length(F.col("content")).alias("markup"), visible_length(F.col("content")).alias("visible"), attachments.alias("attachments"))
+    # The generator keeps a later filter on a size from computing it again.
+    return parts.select("doc_id", "ordinal", "part", F.explode_outer(F.array(sizes)).alias("s")).select("doc_id", "ordinal", "part", "s.*")
 
 
 def pack_sections(parts: DataFrame, markup: str = "markup", visible: str = "visible", attachments: str = "attachments") -> DataFrame:
     """Adds chunk (from 0) to rows with doc_id, ordinal, part and three sizes: next fit under three limits, in order of a document.
 
-    A part over a limit is a chunk of its own.  Rows are dealt out and sorted by
-    document and pass one by one; only three sums are held.
+    A part over a limit is a chunk of its own.  See ``nextfit``: no row passes
+    through Python, and a long document is spread over tasks.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType(parts.schema.fields).add("chunk", LongType())
-    kind = to_arrow_schema(schema)
-    columns = [parts.columns.index(c) for c in ("doc_id", markup, visible, attachments)]
-
-    def run(batches):
-        import pyarrow as pa
-
-        doc, first, chunk, m, v, a = None, True, 0, 0, 0, 0
-        for batch in batches:
-            out = []
-            for d, dm, dv, da in zip(*(batch.column(k).to_pylist() for k in columns)):
-                if first or d != doc:
-                    doc, first, chunk, m, v, a = d, False, 0, dm, dv, da
-                elif m + dm > MARKUP_LIMIT or v + dv > VISIBLE_LIMIT or a + da > ATTACHMENT_LIMIT:
-                    chunk, m, v, a = chunk + 1, dm, dv, da
-                else:
-                    m, v, a = m + dm, v + dv, a + da
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], schema=kind)
-
-    return parts.repartition("doc_id").sortWithinPartitions("doc_id", "ordinal", "part").mapInArrow(run, schema)
+    return packed(parts, {markup: MARKUP_LIMIT, visible: VISIBLE_LIMIT, attachments: ATTACHMENT_LIMIT})
 
 
 def assemble_chunks(parts: DataFrame, assets: DataFrame | None = None) -> DataFrame:

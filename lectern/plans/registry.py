@@ -99,11 +99,45 @@ def _(d):
     return d.select("page_id", T.raw_budget(F.col("html")).alias("budget"))
 
 
-@query("chk_03_split", "documents")
+def _last(window: str, mark: str, size: int) -> str:
+    """Where ``mark`` begins last in a window of t that begins at lo; -1 if nowhere."""
+    return f"CASE WHEN strpos({window}, {mark}) = 0 THEN -1 ELSE lo + length({window}) - strpos(reverse({window}), reverse({mark})) + 1 - {size} END"
+
+
+def _split(sections: str) -> str:
+    """CTEs that cut sections (doc_id, ordinal, content), part by part; kept: the parts with something to render."""
+    line, inside = "chr(10)", "substr(t, best + 3, hard - best - 2)"
+    return f"""WITH RECURSIVE sec AS ({sections}),
+b AS (SELECT doc_id, ordinal, content AS t, length(content) AS n, least(120000, greatest(4000, floor(30000 / greatest({_visible('content')} / greatest(1, {_utf16('content')}), 0.01))))::BIGINT AS b FROM sec WHERE content IS NOT NULL),
+r AS (SELECT doc_id, ordinal, t, n, b, 0::BIGINT AS part, 0::BIGINT AS pos, 0::BIGINT AS e FROM b
+ UNION ALL SELECT doc_id, ordinal, t, n, b, part + 1, pos, CASE WHEN hard = n THEN n WHEN best < 0 THEN hard WHEN substr(t, best + 1, 2) = {line} || {line} THEN best + 2
+   WHEN substr(t, best + 1, 2) = '</' THEN CASE WHEN strpos({inside}, '>') > 0 THEN best + 2 + strpos({inside}, '>') ELSE best END ELSE best + 1 END::BIGINT
+  FROM (SELECT *, greatest({_last('w', f'{line} || {line}', 2)}, {_last('w', "'</'", 2)}, {_last('w1', line, 1)}) AS best
+   FROM (SELECT *, substr(t, lo + 1, hard - lo + 2) AS w, substr(t, lo + 1, hard - lo + 1) AS w1
+    FROM (SELECT doc_id, ordinal, t, n, b, part, e AS pos, least(n, e + b) AS hard, e + b * 3 // 5 AS lo FROM r WHERE e < n)))),
+kept AS (SELECT doc_id, ordinal, part::INT AS part, parts::INT AS parts, content FROM (SELECT doc_id, ordinal, part, count(*) OVER (PARTITION BY doc_id, ordinal) AS parts, substr(t, pos + 1, e - pos) AS content FROM r WHERE part > 0)
+ WHERE {_trim("regexp_replace(content, '<[^>]*>', '', 'g')")} <> '' OR regexp_matches(content, '(?i)<(hr|img|lectern-image)\\b'))"""
+
+
+@query("chk_03_split", "documents", f"{_split('SELECT doc_id, 1 AS ordinal, text AS content FROM documents')} SELECT doc_id, part, parts, md5(content) AS digest FROM kept")
 def _(d):
     return chunks.split_sections(d.select("doc_id", F.lit(1).cast("long").alias("ordinal"), F.col("text").alias("content"))).select("doc_id", "part", "parts", F.md5("content").alias("digest"))
 
 
+#: Texts of twenty documents in one, with paragraphs, tags, line ends and none of them between.
+_JOINED = "SELECT doc_id // 20 AS doc_id, 1 AS ordinal, string_agg(CASE doc_id % 4 WHEN 0 THEN text || chr(10) || chr(10) WHEN 1 THEN '<p class=\"x\">' || text || '</p>' WHEN 2 THEN replace(text, chr(10), ' ') || ' </b ' ELSE text END, '' ORDER BY doc_id) AS content FROM documents WHERE text IS NOT NULL GROUP BY ALL"
+
+
+@query("chk_03_boundaries", "documents", f"{_split(_JOINED)} SELECT doc_id, part, parts, length(content)::INT AS size, md5(content) AS digest FROM kept")
+def _(d):
+    kind, text = F.col("doc_id") % 4, F.col("text")
+    marked = F.when(kind == 0, F.concat(text, F.lit("\n\n"))).when(kind == 1, F.concat(F.lit('<p class="x">'), text, F.lit("</p>"))).when(kind == 2, F.concat(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(" </b "))).otherwise(text)
+    rows = d.where("text is not null").select(F.floor(F.col("doc_id") / 20).alias("k"), "doc_id", marked.alias("text"))
+    joined = rows.groupBy(F.col("k").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rows.doc_id, "text"))), lambda x: x["text"]), "").alias("content"))
+    made = chunks.split_sections(joined.select("doc_id", F.lit(1).cast("long").alias("ordinal"), "content"))
+    return made.select("doc_id", "part", "parts", F.char_length("content").alias("size"), F.md5("content").alias("digest"))
+
+
 _SECTIONS = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS ordinal, unnest(string_split(text, chr(10))) AS content FROM documents WHERE text IS NOT NULL"
 
 
@@ -124,7 +158,13 @@ def _(d):
     return chunks.pack_sections(chunks.sized(_sections(d)).where("visible > 0")).select("doc_id", "ordinal", "markup", "visible", "chunk")
 
 
-@query("chk_07_chunks", "documents")
+@query("chk_07_chunks", "documents", f"""{_split(_SECTIONS)},
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, part) AS k, ordinal::BIGINT AS ordinal, part, {_utf16('content')} AS m, {_visible('content')} AS v FROM kept),
+q AS (SELECT doc_id, k, ordinal, part, m, v, m::BIGINT AS tm, v::BIGINT AS tv, 0::BIGINT AS chunk FROM p WHERE k = 1
+ UNION ALL SELECT p.doc_id, p.k, p.ordinal, p.part, p.m, p.v,
+  CASE WHEN q.tm + p.m > 120000 OR q.tv + p.v > 30000 THEN p.m ELSE q.tm + p.m END, CASE WHEN q.tm + p.m > 120000 OR q.tv + p.v > 30000 THEN p.v ELSE q.tv + p.v END,
+  q.chunk + (q.tm + p.m > 120000 OR q.tv + p.v > 30000)::BIGINT FROM q JOIN p ON p.doc_id = q.doc_id AND p.k = q.k + 1)
+SELECT doc_id, ordinal, part, m AS markup, v AS visible, chunk FROM q""")
 def _(d):
     return chunks.pack_sections(chunks.sized(chunks.split_sections(_sections(d)))).select("doc_id", "ordinal", "part", "markup", "visible", "chunk")
 
