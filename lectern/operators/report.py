@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_number, table_cell, trimmed, utf16_length
+from .quantiles import medians
 
 METRICS = ("capture_ms", "model_ms", "render_ms", "chunk_count", "source_bytes", "output_bytes", "image_count")
 FORMATS = ("txt", "md", "pdf")
@@ -127,14 +128,17 @@ def checked_report(planned: DataFrame, state: DataFrame, scores: DataFrame, rubr
 def by_format(runs: DataFrame) -> DataFrame:
     """format, planned, successful, median_ms (of successes), median_score (of all that are scored), txt_violations, pdf_defects."""
     won = F.col("status") == "success"
-    return runs.groupBy("format").agg(
+    counts = runs.groupBy("format").agg(
         F.count("*").alias("planned"),
         F.count_if(won).alias("successful"),
-        F.median(F.when(won, F.col("total_ms"))).alias("median_ms"),
-        F.median("score").alias("median_score"),
         F.count_if((F.col("format") == "txt") & F.coalesce("txt_violation", F.lit(False))).alias("txt_violations"),
         F.count_if((F.col("format") == "pdf") & F.coalesce("pdf_defect", F.lit(False))).alias("pdf_defects"),
     )
+    times = medians(runs.select("format", F.when(won, F.col("total_ms")).alias("median_ms")), ["format"], "median_ms")
+    scores = medians(runs.select("format", F.col("score").alias("median_score")), ["format"], "median_score")
+    same = lambda other: F.col("c.format").eqNullSafe(F.col(f"{other}.format"))
+    met = counts.alias("c").join(times.alias("t"), same("t")).join(scores.alias("s"), same("s"))
+    return met.select("c.format", "planned", "successful", "median_ms", "median_score", "txt_violations", "pdf_defects")
 
 
 def all_of(holds: Column, among: Column | None = None) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks, html, ranks
+from ..operators.quantiles import medians
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -191,7 +192,17 @@ def _(d):
 
 @query("agg_03_median", "lineitem", "SELECT l_returnflag, median(l_quantity)::DOUBLE AS median_quantity FROM lineitem GROUP BY l_returnflag")
 def _(d):
-    return d.groupBy("l_returnflag").agg(F.median("l_quantity").alias("median_quantity"))
+    return medians(d.withColumn("median_quantity", F.col("l_quantity")), ["l_returnflag"], "median_quantity")
+
+
+@query("agg_03_prices", "lineitem", "SELECT l_returnflag, l_linestatus, median(l_extendedprice::DOUBLE) AS median_price FROM lineitem GROUP BY ALL")
+def _(d):
+    return medians(d.withColumn("median_price", F.col("l_extendedprice")), ["l_returnflag", "l_linestatus"], "median_price")
+
+
+@query("agg_03_totals", "orders", "SELECT o_orderpriority, median(o_totalprice::DOUBLE) AS median_total FROM orders GROUP BY ALL")
+def _(d):
+    return medians(d.withColumn("median_total", F.col("o_totalprice")), ["o_orderpriority"], "median_total")
 
 
 @query("agg_05_counts", "labels", "SELECT quality, count(*) AS planned, count(*) FILTER (toxic = 1) AS failed, count(*) FILTER (toxic = 0) AS success, coalesce(bool_and(coalesce(toxic = 0, false)), true) AS all_pass FROM labels GROUP BY quality")
@@ -253,7 +264,10 @@ def _resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return docs.join(labels, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("planned"), F.count_if(F.col("quality") == 1).alias("success"), F.median(F.when(F.col("quality") == 1, F.col("n_chars"))).alias("median_size"), F.count_if(F.col("quality").isNull()).alias("not_run"))
+    rows = docs.join(labels, "doc_id", "left")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("planned"), F.count_if(F.col("quality") == 1).alias("success"), F.count_if(F.col("quality").isNull()).alias("not_run"))
+    sizes = medians(rows.select("lang", F.when(F.col("quality") == 1, F.col("n_chars")).alias("median_size")), ["lang"], "median_size")
+    return counts.alias("c").join(sizes.alias("s"), F.col("c.lang").eqNullSafe(F.col("s.lang"))).select("c.lang", "planned", "success", "median_size", "not_run")
 
 
 QUERIES |= {"join_14_resume": _resume, "evl_03_report": _report}
