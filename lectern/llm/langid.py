@@ -205,8 +205,8 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
     return path[row, col].astype(np.int64)
 
 
-def identify(docs: DataFrame, model, with_spans: bool = False, switch: float = SWITCH) -> DataFrame:
-    """doc_id, lang_pred, score (the predicted language's share of letters); with_spans: spans (start, end in code points, lang)."""
+def identify(docs: DataFrame, model, with_spans: bool = False, switch: float = SWITCH, with_text_hash: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (the predicted language's share of letters); with_spans: spans (start, end in code points, lang); with_text_hash: text_hash, to tell texts of one doc_id apart."""
     langs, likely, candidates = model
 
     def run(batches):
@@ -238,11 +238,16 @@ def identify(docs: DataFrame, model, with_spans: bool = False, switch: float = S
                 out = [batch.column(0).slice(a, m), pa.array([langs[k] if k >= 0 else "und" for k in pick], pa.string()), pa.array(share)]
                 if with_spans:
                     out.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "spans"][: len(out)])
+                if with_text_hash:
+                    out.append(batch.column(2).slice(a, m))
+                yield pa.RecordBatch.from_arrays(out, names)
         give_back()
 
-    kind = "doc_id long, lang_pred string, score double" + ", spans array<struct<start: long, end: long, lang: string>>" * with_spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    kind = "doc_id long, lang_pred string, score double" + ", spans array<struct<start: long, end: long, lang: string>>" * with_spans + ", text_hash long" * with_text_hash
+    names = ["doc_id", "lang_pred", "score"] + ["spans"] * with_spans + ["text_hash"] * with_text_hash
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.xxhash64(text).alias("text_hash")] * with_text_hash)
+    return rows.mapInArrow(run, kind)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
