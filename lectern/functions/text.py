@@ -97,12 +97,13 @@ def public_url(url: Column) -> Column:
 
 def asset_url(url: Column) -> Column:
     """http(s) only, without credentials, query and fragment."""
-    return F.when(public_url(url), F.regexp_replace(F.regexp_replace(trimmed(url), "[?#].*$", ""), "^([A-Za-z]+://)[^/@]*@", "$1"))
+    return F.when(public_url(url), F.regexp_replace(F.regexp_replace(trimmed(url), "[?#].*$", ""), "^([A-Za-z]+://)[^/]*@", "$1"))
 
 
 def safe_url(url: Column) -> Column:
     """Absolute urls: no credentials, no tracking parameters, fragment kept, at most 4,096 characters; else null."""
-    bare = F.regexp_replace(trimmed(url), "^([A-Za-z]+://)[^/@?#]*@", "$1")
+    # Up to the last @ of the host's part: a password may hold others.
+    bare = F.regexp_replace(trimmed(url), "^([A-Za-z]+://)[^/?#]*@", "$1")
     head = F.regexp_extract(bare, "^([^?#]*)", 1)
     query = F.regexp_extract(bare, "^[^?#]*\\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(TRACKING)), "&")

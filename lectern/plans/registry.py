@@ -55,12 +55,12 @@ def _(d):
 @query("url_01_safe_url", "pages", f"""SELECT page_id, CASE WHEN regexp_matches(lower(b), '^https?://|^(file|mailto):') THEN
  substr(regexp_extract(b, '^([^?#]*)', 1) || CASE WHEN q <> '' THEN '?' || q ELSE '' END || regexp_extract(b, '(#.*)$', 1), 1, 4096) END AS safe_url
 FROM (SELECT page_id, b, array_to_string(list_filter(string_split(regexp_extract(b, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '(?i)^(utm_.+|fbclid|gclid|dclid|mc_cid|mc_eid)$')), '&') AS q
- FROM (SELECT page_id, regexp_replace({_trim('url')}, '^([A-Za-z]+://)[^/@?#]*@', '\\1') AS b FROM pages))""")
+ FROM (SELECT page_id, regexp_replace({_trim('url')}, '^([A-Za-z]+://)[^/?#]*@', '\\1') AS b FROM pages))""")
 def _(d):
     return d.select("page_id", T.safe_url(F.col("url")).alias("safe_url"))
 
 
-@query("url_02_asset_url", "pages", f"SELECT page_id, CASE WHEN regexp_matches(lower({_trim('url')}), '^https?://[^/?#]+') THEN regexp_replace(regexp_replace({_trim('url')}, '[?#].*$', ''), '^([A-Za-z]+://)[^/@]*@', '\\1') END AS asset_url FROM pages")
+@query("url_02_asset_url", "pages", f"SELECT page_id, CASE WHEN regexp_matches(lower({_trim('url')}), '^https?://[^/?#]+') THEN regexp_replace(regexp_replace({_trim('url')}, '[?#].*$', ''), '^([A-Za-z]+://)[^/]*@', '\\1') END AS asset_url FROM pages")
 def _(d):
     return d.select("page_id", T.asset_url(F.col("url")).alias("asset_url"))
 
