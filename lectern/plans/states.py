@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import html, overlaps, report
+from ..operators import html, inventories, overlaps, report
 from ..staging import fresh_path, staged
 from ..streaming import state
 from .registry import ORACLE_SQL, QUERIES, query
@@ -111,3 +111,61 @@ def _(d: DataFrame) -> DataFrame:
     box = F.struct(left.alias("left"), top.alias("top"), (left + w).alias("right"), (top + h).alias("bottom"))
     rows = d.select(F.lit(0).alias("doc_id"), (F.col("o_custkey") % 40).alias("page"), n.alias("at"), box.alias("box"))
     return overlaps.distinct_boxes(rows).select("page", F.col("at").alias("box_id"))
+
+
+_ATTACHED = "SELECT conv_id, turn, role, unnest(['t' || turn % 4 || '.png', 'u/../v' || turn % 3 || '.png']) AS path, unnest([0, 1]) AS i FROM conversations WHERE role IS NOT NULL"
+
+
+def _attached(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations as documents, turns as sections with two attachments each that others hold too; every second turn is an asset."""
+    turn = lambda k: (F.col("turn") % k).cast("string")
+    paths = F.array(F.concat(F.lit("t"), turn(4), F.lit(".png")), F.concat(F.lit("u/../v"), turn(3), F.lit(".png")))
+    sections = d.where("role is not null").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("chunk"), F.col("turn").alias("ordinal"), F.col("role").alias("label"), paths.alias("attachments"))
+    path = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("./t"), turn(4), F.lit(".png"))).otherwise(F.concat(F.lit("v"), turn(3), F.lit(".png")))
+    assets = d.where("turn % 2 = 0").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.concat(F.lit("a"), F.col("turn").cast("string")).alias("id"), path.alias("path"))
+    return sections, assets
+
+
+@query(
+    "join_06_inventory",
+    "conversations",
+    f"""WITH p AS (SELECT conv_id, path, min(turn * 2 + i) AS k, arg_min(role, turn * 2 + i) AS label FROM ({_ATTACHED}) GROUP BY ALL),
+a AS (SELECT conv_id, CASE WHEN turn % 4 = 0 THEN 't0.png' ELSE 'v' || turn % 3 || '.png' END AS path, 'a' || min(turn) AS asset_id FROM conversations WHERE turn % 2 = 0 GROUP BY ALL)
+SELECT p.conv_id AS doc_id, row_number() OVER (PARTITION BY p.conv_id ORDER BY k)::INT AS place, p.path, label, asset_id FROM p LEFT JOIN a ON a.conv_id = p.conv_id AND a.path = replace(p.path, 'u/../', '')""",
+)
+def _(d: DataFrame) -> DataFrame:
+    return inventories.inventory(*_attached(d)).select("doc_id", "place", "path", "label", "asset_id")
+
+
+@query("join_03_reattached", "conversations", f"SELECT conv_id AS doc_id, turn AS ordinal, string_agg(CASE WHEN path = 't1.png' THEN 'page-' || conv_id % 5 || '.png' ELSE path END, ',' ORDER BY i) AS attachments FROM ({_ATTACHED}) GROUP BY ALL")
+def _(d: DataFrame) -> DataFrame:
+    sections, _ = _attached(d)
+    moved = d.select(F.col("conv_id").alias("doc_id"), F.lit("t1.png").alias("path"), F.concat(F.lit("page-"), (F.col("conv_id") % 5).cast("string"), F.lit(".png")).alias("new_path"))
+    return inventories.reattached(sections, moved).select("doc_id", "ordinal", F.array_join("attachments", ",").alias("attachments"))
+
+
+@query("map_01_merge", "events", "SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 2 = 0) AS even, arg_max(event_type, event_id) FILTER (event_id % 2 = 1) AS odd, count(DISTINCT event_id % 2)::INT AS keys FROM events GROUP BY user_id")
+def _(d: DataFrame) -> DataFrame:
+    """Records merged in order, the later value of a key wins."""
+    record = d.select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("k"), "event_type")
+    last = record.groupBy("user_id", "k").agg(F.max_by("event_type", "event_id").alias("v"))
+    merged = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    return merged.select("user_id", F.try_element_at("m", F.lit("even")).alias("even"), F.try_element_at("m", F.lit("odd")).alias("odd"), F.size("m").alias("keys"))
+
+
+#: What stands for an event's properties: a fifth each not JSON, without k, with k as text, with k out of bounds, and as given.
+_PROPS = "CASE event_id % 5 WHEN 0 THEN substr(props, 1, length(props) - 1) WHEN 1 THEN '{}' WHEN 2 THEN '{\"k\": \"x\"}' WHEN 3 THEN '{\"k\": ' || event_id || '0}' ELSE props END"
+
+
+@query(
+    "val_01_properties",
+    "events",
+    "SELECT event_id, CASE WHEN event_id % 5 IN (0, 2) OR (event_id % 5 = 3 AND event_id * 10 > 1000) THEN NULL WHEN event_id % 5 = 1 THEN 0 WHEN event_id % 5 = 3 THEN event_id * 10 ELSE json_extract(props, '$.k')::BIGINT END AS k, CASE WHEN event_id % 5 = 0 THEN 'not JSON' WHEN event_id % 5 = 2 THEN 'k is no number' WHEN event_id % 5 = 3 AND event_id * 10 > 1000 THEN 'k is out of bounds' END AS error FROM events",
+)
+def _(d: DataFrame) -> DataFrame:
+    """Properties as variants: k from 0 to 1000, 0 by default, and why a row is refused."""
+    parsed = d.select("event_id", F.try_parse_json(F.expr(_PROPS)).alias("v"))
+    given = F.expr("try_variant_get(v, '$.k', 'string')")
+    k = F.expr("try_variant_get(v, '$.k', 'bigint')")
+    error = F.when(F.col("v").isNull(), "not JSON").when(given.isNotNull() & k.isNull(), "k is no number").when(~F.coalesce(k, F.lit(0)).between(0, 1000), "k is out of bounds")
+    return parsed.select("event_id", F.when(error.isNull(), F.coalesce(k, F.lit(0).cast("long"))).alias("k"), error.alias("error"))
