@@ -44,6 +44,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a uri with its file system: the default one's where it names none, as Spark resolves it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", uri)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

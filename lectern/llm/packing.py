@@ -93,6 +93,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(columns))
     use = inverse @ demand
+    held = columns.copy(), use.copy()
     center = sizes / capacity
     bound = center @ demand
     # Patterns to begin with: a proportional part of the histogram, packed best fit.
@@ -128,8 +129,12 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-
             if gain[k] <= 1 + 1e-7:
                 break
             entering = inverse @ found[:, k]
-            ratio = np.where(entering > 1e-9, use / np.where(entering > 1e-9, entering, 1), np.inf)
-            out = int(ratio.argmin())
+            able = entering > 1e-7
+            ratio = np.where(able, use / np.where(able, entering, 1), np.inf)
+            if not able.any():
+                break
+            # Of equal ratios the largest pivot: small ones make the basis singular.
+            out = int(np.where(ratio <= ratio.min() * (1 + 1e-9) + 1e-12, entering, -np.inf).argmax())
             step = ratio[out]
             use = np.maximum(use - step * entering, 0)
             use[out] = step
@@ -137,8 +142,14 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-
             row = inverse[out] / entering[out]
             inverse -= np.outer(entering, row)
             inverse[out] = row
-        inverse = inverted(columns)
-        use = np.maximum(inverse @ demand, 0)
+        with np.errstate(all="ignore"):
+            inverse = inverted(columns)
+            use = np.maximum(inverse @ demand, 0)
+            sound = np.abs(columns @ use - demand).max() <= 1e-6 * demand.max()
+        if not sound:  # a basis that rounding has made singular: the last sound one stands
+            columns, use = held
+            break
+        held = columns.copy(), use.copy()
         if use.sum() <= bound * (1 + gap):
             break
         if found.shape[1] > 4000:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import materialize, qualified, scratch
 from .tokens import VOCABULARY, encoder
 
 END_ID = 50256
@@ -39,13 +39,15 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = END_ID, vocabu
     written before use: a repeated task leaves files that no row names.
     """
 
+    folder = qualified(docs.sparkSession, folder)
+
     def write(batches):
         import pyarrow as pa
         from pyarrow import fs
         from pyspark import TaskContext
 
         encode, task = encoder(vocabulary, True), TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         sink, name, ordinal, held = None, "", 0, 0
         for batch in batches:
