@@ -144,7 +144,7 @@ def _(d: DataFrame) -> DataFrame:
     return inventories.reattached(sections, moved).select("doc_id", "ordinal", F.array_join("attachments", ",").alias("attachments"))
 
 
-@query("map_01_merge", "events", "SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 2 = 0) AS even, arg_max(event_type, event_id) FILTER (event_id % 2 = 1) AS odd, count(DISTINCT event_id % 2)::INT AS keys FROM events GROUP BY user_id")
+@query("map_01_records", "events", "SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 2 = 0) AS even, arg_max(event_type, event_id) FILTER (event_id % 2 = 1) AS odd, count(DISTINCT event_id % 2)::INT AS keys FROM events GROUP BY user_id")
 def _(d: DataFrame) -> DataFrame:
     """Records merged in order, the later value of a key wins."""
     record = d.select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("k"), "event_type")
