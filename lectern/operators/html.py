@@ -21,8 +21,9 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import IMAGE_ID, MARKER_PATTERN, SPACE
-from .urls import cut16, length16, safe_url
+from ..functions.text import IMAGE_ID, IMAGE_TAG, MARKER_PATTERN, SPACE, image_marker
+from .images import MAX_IMAGES, TYPES, asset, attach_captured, data_image, image_extension, marker_id
+from .urls import cut16, href, length16, resolve, safe_url
 
 # Element and attribute lists, limits and patterns.
 REMOVED = frozenset("script style noscript template iframe object embed portal input textarea select option button datalist".split())
@@ -56,7 +57,7 @@ ATTRIBUTES = {
 META = re.compile(r"(?i)(?:^|:)(?:title|description|author|byl|date|published(?:_time)?|modified(?:_time)?|section|language|locale|site_name|keywords)\Z")
 LANGUAGE_CLASS = re.compile(r"language-[\w+-]+", re.A)
 BLANK = re.compile(r"[ \t\r\n\f\v]+")
-META_VALUE, META_TOTAL, LABEL, ALT, ATTRIBUTE, MAX_IMAGES = 2_000, 20_000, 160, 1_000, 1_000, 20
+META_VALUE, META_TOTAL, LABEL, ALT, ATTRIBUTE = 2_000, 20_000, 160, 1_000, 1_000
 
 # Fixed values of the HTML standard: what closes an open paragraph, what is opened again, what a head may hold.
 ENDS_P = BLOCKS - frozenset("caption colgroup dd dt li tbody td tfoot th thead tr".split()) | frozenset(("fieldset", "dialog", "center"))
@@ -152,7 +153,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.body = Node("body", {})
         self.open, self.again, self.count = [self.body], [], {}
-        self.head, self.heading, self.title = True, None, None
+        self.head, self.heading, self.title, self.inert = True, None, None, 0
         self.language, self.canonical, self.meta = None, None, []
         self.feed(html)
         self.close()
@@ -195,6 +196,10 @@ class Page(HTMLParser):
             self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_starttag(self, tag, attrs):
+        if self.head and (self.inert or tag == "template"):
+            # What a template before the body holds is none of the page.
+            self.inert += tag == "template"
+            return
         a = {}
         for k, v in attrs:
             a.setdefault(k, v or "")
@@ -235,6 +240,9 @@ class Page(HTMLParser):
             self.pop()
 
     def handle_endtag(self, tag):
+        if self.head and self.inert:
+            self.inert -= tag == "template"
+            return
         if self.head:
             if self.heading is not None and self.heading.tag == tag:
                 self.heading = None
@@ -263,6 +271,8 @@ class Page(HTMLParser):
             self.pop()
 
     def handle_data(self, data):
+        if self.head and self.inert:
+            return
         if self.head:
             if self.heading is not None:
                 if self.heading.tag == "title" and self.title is None:
@@ -355,6 +365,7 @@ def image_source(node: Node) -> str | None:
 
 def mark_images(body: Node, known: dict[int, str], tag: str, marker) -> None:
     """Replace every image by an element of ours: a marker for known ids, else its label."""
+    swapped, parents = {}, {}
     for node in images(body):
         label = cut16(image_label(node), ALT)
         own = Node(tag, {}, node.up, own=True)
@@ -366,7 +377,9 @@ def mark_images(body: Node, known: dict[int, str], tag: str, marker) -> None:
             own.kids.append(f"[Image: {label}]")
         if label:
             own.attrs["alt"] = label
-        node.up.kids[next(k for k, x in enumerate(node.up.kids) if x is node)] = own
+        swapped[id(node)], parents[id(node.up)] = own, node.up
+    for parent in parents.values():
+        parent.kids = [swapped.get(id(x), x) if isinstance(x, Node) else x for x in parent.kids]
 
 
 def kept_attributes(tag: str, attrs: dict[str, str], base: str) -> dict[str, str]:
@@ -433,8 +446,6 @@ def collapse(body: Node) -> None:
 
 
 def sanitise(page: Page, base: str, known: dict[int, str] | None = None, tag: str = "", marker=None) -> Node:
-    from ..functions.text import IMAGE_TAG, image_marker
-
     prune(page.body)
     mark_images(page.body, known or {}, tag or IMAGE_TAG, marker or image_marker)
     body = unwrap(page.body, base)
@@ -475,18 +486,47 @@ def sections(body: Node, prefix: str) -> list[dict]:
     return out or [{"id": f"{prefix}-001", "label": "Page content", "content": compact(body.text()), "asset_ids": []}]
 
 
+def capture_local(body: Node, base: str) -> tuple[list[dict], dict[int, str]]:
+    """Assets of a local page's first 20 meaningful images: drawings, data urls, and ``file:`` paths (content to be joined)."""
+    assets, known = [], {}
+    for node in images(body):
+        if len(assets) >= MAX_IMAGES or not meaningful(node):
+            continue
+        source, path, content = image_source(node), None, None
+        if node.tag == "svg":
+            content, mime, extension = node.markup().encode(), "image/svg+xml", ".svg"
+        elif source and source.startswith("data:"):
+            found = data_image(source)
+            if not found:
+                continue
+            content, mime, extension = found
+        elif source:
+            x = resolve(source, base)
+            if not x or x[0] != "file":
+                continue
+            path = href((*x[:3], "", ""))
+            mime = TYPES.get(image_extension(x[2], ""), "application/octet-stream")
+            if not mime.startswith("image/"):
+                continue
+            extension = image_extension(x[2], mime)
+        else:
+            continue
+        image_id = marker_id(None, len(assets) + 1)
+        known[id(node)] = image_id
+        assets.append(asset(image_id, mime, extension, image_label(node), safe_url(source, base) if source else None, path, content))
+    return assets, known
+
+
 def parse(html: str, url: str | None = None, captured: list[dict] | None = None, local_images: bool = False) -> dict:
     """kind, title, metadata, sections and assets of a page, or of an HTML text without url."""
-    from . import images as I
-
     base = url or "https://captured.invalid/"
     page = Page(html)
     meta = metadata(page, base)
     assets, known = [], {}
     if captured:
-        assets, known = I.attach_captured(images(page.body), captured, base)
+        assets, known = attach_captured(images(page.body), captured, base)
     elif local_images:
-        assets, known = I.capture_local(page.body, base)
+        assets, known = capture_local(page.body, base)
     body = sanitise(page, base, known)
     found = sections(body, "page-section" if url else "html-section")
     names = {a["id"]: a["filename"] for a in assets}

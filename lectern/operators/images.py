@@ -5,14 +5,19 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import IMAGE_ID, MAX_IMAGE_BYTES
-from . import html as H
-from .urls import href, resolve, safe_url
+from .urls import safe_url
 
+if TYPE_CHECKING:
+    from .html import Node
+
+#: Images of a page that become assets.
+MAX_IMAGES = 20
 # Fixed values.
 DATA = re.compile(r"(?i)data:(image/(?:png|jpeg|webp|gif|svg\+xml));base64,([a-z0-9+/=\s]+)")
 EXTENSIONS = {"image/jpeg": ".jpg", "image/svg+xml": ".svg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp"}
@@ -50,7 +55,7 @@ def asset(image_id: str, mime: str, extension: str, alt: str | None, source: str
     return {"id": image_id, "mime": mime, "filename": image_id + extension, "alt": alt or None, "source_url": source, "path": path, "content": content}
 
 
-def attach_captured(elements: list[H.Node], captured: list[dict], base: str) -> tuple[list[dict], dict[int, str]]:
+def attach_captured(elements: list[Node], captured: list[dict], base: str) -> tuple[list[dict], dict[int, str]]:
     """Assets of the first 20 captured images that can be read, and the ids of the page's elements they stand for.
 
     An image keeps its id if that is valid and free, else it gets the next free
@@ -59,7 +64,7 @@ def attach_captured(elements: list[H.Node], captured: list[dict], base: str) ->
     """
     assets, used, known = [], set(), {}
     held = {id(n): n.attrs.get("data-image-id") for n in elements}
-    for image in captured[: H.MAX_IMAGES]:
+    for image in captured[: MAX_IMAGES]:
         found = data_image(image.get("data_url"))
         if not found:
             continue
@@ -81,37 +86,6 @@ def attach_captured(elements: list[H.Node], captured: list[dict], base: str) ->
     return assets, known
 
 
-def capture_local(body: H.Node, base: str) -> tuple[list[dict], dict[int, str]]:
-    """Assets of a local page's first 20 meaningful images: drawings, data urls, and ``file:`` paths (content to be joined)."""
-    assets, known = [], {}
-    for node in H.images(body):
-        if len(assets) >= H.MAX_IMAGES or not H.meaningful(node):
-            continue
-        source, path, content = H.image_source(node), None, None
-        if node.tag == "svg":
-            content, mime, extension = node.markup().encode(), "image/svg+xml", ".svg"
-        elif source and source.startswith("data:"):
-            found = data_image(source)
-            if not found:
-                continue
-            content, mime, extension = found
-        elif source:
-            x = resolve(source, base)
-            if not x or x[0] != "file":
-                continue
-            path = href((*x[:3], "", ""))
-            mime = TYPES.get(image_extension(x[2], ""), "application/octet-stream")
-            if not mime.startswith("image/"):
-                continue
-            extension = image_extension(x[2], mime)
-        else:
-            continue
-        image_id = marker_id(None, len(assets) + 1)
-        known[id(node)] = image_id
-        assets.append(asset(image_id, mime, extension, H.image_label(node), safe_url(source, base) if source else None, path, content))
-    return assets, known
-
-
 def asset_rows(bundles: DataFrame) -> DataFrame:
     """page_id, ordinal (from 0) and the fields of each asset."""
     return bundles.select("page_id", F.posexplode("assets").alias("ordinal", "a")).select("page_id", "ordinal", "a.*")

@@ -4,7 +4,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-NAMES = ["chk_03_split", "dom_21_bundles", "mdl_07_editions", "rnd_04_document", "str_01_frames", "str_02_reassembly"]
+NAMES = ["chk_03_split", "dom_21_bundles", "dom_16_sections", "mdl_07_editions", "rnd_04_document", "str_01_frames", "str_02_reassembly"]
 RUN = """
 import sys
 sys.path.insert(0, {root!r})
@@ -20,6 +20,8 @@ assert all(r.missing for r in spark.range(2).mapInArrow(missing, "missing boolea
 for name in {names!r}:
     __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
     print("ran", name)
+if "dom_21_bundles" in {names!r}:
+    assert __spark_entry__.queries()["dom_21_bundles"](spark, "/root/testdata/sf0.001").where("error is not null").count() == 0
 """
 
 
