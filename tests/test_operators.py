@@ -255,7 +255,7 @@ def test_upload_stream(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
     stream = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     q = uploads.outcome_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
-    assert q.awaitTermination(600)
+    assert q.awaitTermination(300)
     right(spark.read.parquet(str(tmp_path / "out")).collect())
 
 
