@@ -68,9 +68,10 @@ def raw_budget(markup: Column) -> Column:
     return F.least(F.lit(MARKUP_LIMIT), F.greatest(F.lit(LEAST_BUDGET), F.floor(VISIBLE_LIMIT / F.greatest(density, F.lit(0.01))))).cast("int")
 
 
-def within_budget(markup: Column) -> Column:
-    """Whether a section needs no cut; the budget is computed only where it may decide."""
-    return F.when(utf16_length(markup) <= LEAST_BUDGET, F.lit(True)).otherwise(raw_budget(markup) >= utf16_length(markup))
+def excess_budget(markup: Column) -> Column:
+    """The budget of a section that needs a cut; null for others."""
+    over = lambda n: F.when(n > LEAST_BUDGET, let(raw_budget(markup), lambda b: F.when(b < n, b)))
+    return let(utf16_length(markup), over)
 
 
 def renderable(markup: Column) -> Column:

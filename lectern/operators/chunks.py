@@ -7,11 +7,13 @@ are parts of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ATTACHMENT_LIMIT, MARKUP_LIMIT, VISIBLE_LIMIT, raw_budget, renderable, utf16_length, visible_length, within_budget
+from ..functions.text import ATTACHMENT_LIMIT, MARKUP_LIMIT, VISIBLE_LIMIT, excess_budget, let, renderable, utf16_length, visible_length
 from .nextfit import packed
 
 
@@ -48,20 +50,32 @@ def cut_points(text: str, budget: int) -> list[str]:
     return parts
 
 
-def pieces(content: Column) -> Column:
-    """A section's parts; only the text of sections over their budget goes through Python."""
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series, budgets: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else cut_points(t, int(b)) for t, b in zip(texts, budgets)], dtype=object)
+def with_pieces(sections: DataFrame) -> DataFrame:
+    """Adds p, the parts of ``content``; only the text of sections over their budget goes through Python, one by one, and only the places of its cuts come back."""
+
+    @F.arrow_udf("array<int>")
+    def ends(texts: pa.Array, budgets: pa.Array) -> pa.Array:
+        def found(text: pa.Scalar, budget: pa.Scalar) -> list[int] | None:
+            b = budget.as_py()
+            return b and list(accumulate(len(p.encode("utf-8", "surrogatepass")) for p in cut_points(text.as_py(), b)))
+
+        return pa.array(map(found, texts, budgets), pa.list_(pa.int32()))
 
-    fits = within_budget(content)
-    return F.when(fits, F.array(content)).otherwise(split(F.when(~fits, content), F.when(~fits, raw_budget(content))))
+    content, places, budget = F.col("content"), F.col("_places"), F.col("_budget")
+    # Generators keep the function apart from what goes before and after: it cannot run inside of an aggregate or a lambda, and would be run again for each use.
+    rows = sections.select(*sections.columns, F.explode_outer(F.array(excess_budget(content))).alias("_budget"))
+    rows = rows.withColumn("_ends", ends(F.when(budget.isNotNull(), content), budget))
+    rows = rows.select(*sections.columns, F.explode_outer(F.array("_ends")).alias("_places"))
+    # Cut by bytes, for which nothing before the place is read.
+    part = lambda raw: F.transform(places, lambda e, k: let(F.coalesce(F.get(places, k - 1), F.lit(0)), lambda at: F.substring(raw, at + 1, e - at)).cast("string"))
+    return rows.withColumn("p", F.when(places.isNull(), F.array(content)).otherwise(let(content.cast("binary"), part))).drop("_places")
 
 
 def split_sections(sections: DataFrame) -> DataFrame:
     """(doc_id, ordinal, content) to (doc_id, ordinal, part, parts, content): sections over their budget are split, parts without content dropped."""
-    rows = sections.where(F.col("content").isNotNull()).select("doc_id", "ordinal", pieces(F.col("content")).alias("p"))
-    rows = rows.select("doc_id", "ordinal", F.size("p").alias("parts"), F.posexplode("p").alias("at", "content"))
+    rows = with_pieces(sections.where(F.col("content").isNotNull()).select("doc_id", "ordinal", "content"))
+    # The outer form: for the other the optimizer adds a filter that computes the parts again.
+    rows = rows.select("doc_id", "ordinal", F.size("p").alias("parts"), F.posexplode_outer("p").alias("at", "content"))
     return rows.select("doc_id", "ordinal", (F.col("at") + 1).alias("part"), "parts", "content").where(renderable(F.col("content")))
 
 
@@ -90,9 +104,9 @@ def normalise_sections(sections: DataFrame, assets: DataFrame | None = None) ->
         rows = rows.withColumn("known", F.transform(F.array().cast("array<string>"), lambda x: F.struct(x.alias("id"), x.alias("path"))))
     else:
         rows = rows.join(known_assets(rows, assets), ["doc_id", "ordinal"], "left")
-    rows = rows.withColumn("p", pieces(F.col("content"))).withColumn("g", groups(F.col("attachments"), ATTACHMENT_LIMIT))
+    rows = with_pieces(rows).withColumn("g", groups(F.col("attachments"), ATTACHMENT_LIMIT))
     rows = rows.withColumn("parts", F.greatest(F.lit(1), F.size("p"), F.size("g")))
-    rows = rows.select("doc_id", "ordinal", "id", "label", "p", "g", "known", "parts", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
+    rows = rows.select("doc_id", "ordinal", "id", "label", "p", "g", "known", "parts", F.explode_outer(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
     own, many = F.col("part") - 1, F.col("parts") > 1
     rows = rows.select(
         "doc_id",
