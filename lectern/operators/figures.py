@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clamped, image_marker, ordinal_id, trimmed
+from ..functions.text import clamped, image_marker, let, ordinal_id, trimmed
 
 # A figure's most area or sides, least pixels, most aspect, and the overlap of copies.
 LARGE, LEAST_WIDTH, LEAST_HEIGHT, ASPECT, SAME, PAD = 0.8, 96, 64, 14, 0.9, 2
@@ -24,21 +24,23 @@ def page_text(items: Column) -> Column:
 
 def boxes(coordinates: Column) -> Column:
     """Bounding boxes of parallelograms, given by three corners in six numbers each; what is not finite or empty goes."""
-    at = lambda i, k: F.get(coordinates, i * 6 + k)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
-    def box(i):
-        x = [at(i, 0), at(i, 2), at(i, 4), at(i, 2) + at(i, 4) - at(i, 0)]
-        y = [at(i, 1), at(i, 3), at(i, 5), at(i, 3) + at(i, 5) - at(i, 1)]
-        whole = finite(at(i, 0))
-        for k in range(1, 6):
-            whole = whole & finite(at(i, k))
-        edges = [clamped(f(*v), 0.0, 1.0).alias(n) for n, f, v in (("left", F.least, x), ("top", F.least, y), ("right", F.greatest, x), ("bottom", F.greatest, y))]
-        return F.when(whole, F.struct(*edges))
-
-    many = F.floor(F.size(coordinates) / 6).cast("int")
-    made = F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), box)).otherwise(F.array().cast(BOX))
-    return F.filter(F.coalesce(made, F.array().cast(BOX)), lambda b: b.isNotNull() & (b["right"] > b["left"]) & (b["bottom"] > b["top"]))
+    def box(c):
+        n = [F.get(c, F.lit(k)) for k in range(6)]
+        x = [n[0], n[2], n[4], n[2] + n[4] - n[0]]
+        y = [n[1], n[3], n[5], n[3] + n[5] - n[1]]
+        edges = [clamped(f(*v), 0.0, 1.0).alias(k) for k, f, v in (("left", F.least, x), ("top", F.least, y), ("right", F.greatest, x), ("bottom", F.greatest, y))]
+        return F.when(F.forall(c, finite), F.struct(*edges))
+
+    def made(numbers):
+        many = F.floor(F.size(numbers) / 6).cast("int")
+        sixes = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.slice(numbers, i * 6 + 1, F.lit(6)))
+        return F.when(many > 0, F.transform(sixes, box)).otherwise(F.array().cast(BOX))
+
+    # The numbers are computed once, as a variable: spelt out in each place that uses one, they were computed some hundred times a box.
+    found = F.coalesce(let(coordinates, made), F.array().cast(BOX))
+    return F.filter(found, lambda b: b.isNotNull() & (b["right"] > b["left"]) & (b["bottom"] > b["top"]))
 
 
 def area(b: Column) -> Column:
