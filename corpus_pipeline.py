@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of lines go; n_chars follows; documents left without text go."""
-    found = linededup.drop_repeated_passages(docs)
+    found = linededup.drop_repeated_lines(docs, extended=True)
     changed = F.col("lines_in") != F.col("lines_out")
     found = found.where(~F.coalesce(changed, F.lit(False)) | F.col("text").rlike(r"\S"))
     return found.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

@@ -7,10 +7,11 @@ but for their first occurrence (smallest doc_id, then position).  Hashes only
 find candidates; chunks are equal if their bytes are.
 
 That form is bound by its SQL: a chunk of one line, and one that also holds
-foreign lines, always stays.  ``drop_repeated_passages`` has no boundaries: two
-neighbouring lines that occur together earlier are removed, and so is every
-passage of two lines or more that occurred before, whole and without its
-neighbours.  A line's first occurrence always stays.
+foreign lines, always stays.  Extended, what the chunks find grows beyond their
+boundaries: the lines of repeated chunks go, and of all others two neighbouring
+ones that occur together earlier, so that every passage of two lines or more
+that occurred before goes whole and without its neighbours.  A line's first
+occurrence always stays.
 
 Built-in functions only.  Hashes of chunks are shuffled; each document's text
 once to cut out the chunks whose hash occurs again, and once when removals are
@@ -45,14 +46,19 @@ def line_value(line: Column) -> Column:
 
 def chunked(docs: DataFrame, divisor: int, *other: str) -> DataFrame:
     """doc_id, at (hash of the text), chunks: array of (text, lines), and the other columns named."""
+    ends, start = boundaries(docs, divisor, *other)
+    made = F.transform("ends", lambda e, k: F.struct(F.array_join(F.slice("lines", start(k) + 1, e - start(k) + 1), "\n").alias("text"), (e - start(k) + 1).alias("lines")))
+    return ends.select("doc_id", "at", *other, made.alias("chunks"))
+
+
+def boundaries(docs: DataFrame, divisor: int, *other: str):
+    """doc_id, at, lines, ends (the last line of each chunk) and the other columns named; a chunk's first line by its number."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("at"), *other, F.split("text", "\n", -1).alias("lines"))
     values = lines.withColumn("v", F.transform("lines", line_value))
     roll = lambda i: F.get("v", i) + 31 * F.coalesce(F.get("v", i - 1), F.lit(0))
     last = F.size("lines") - 1
     ends = values.withColumn("ends", F.filter(F.sequence(F.lit(0), last), lambda i: (roll(i) % divisor == 0) | (i == last)))
-    start = lambda k: F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
-    made = F.transform("ends", lambda e, k: F.struct(F.array_join(F.slice("lines", start(k) + 1, e - start(k) + 1), "\n").alias("text"), (e - start(k) + 1).alias("lines")))
-    return ends.select("doc_id", "at", *other, made.alias("chunks"))
+    return ends, lambda k: F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
 
 
 def marked(hashes: DataFrame, overlapping: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -107,26 +113,44 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST)
     return verified(candidates)
 
 
-def repeated_pairs(docs: DataFrame) -> DataFrame:
+def line_pairs(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """doc_id, at, pos, h, repeated: pairs of neighbouring lines that are not both blank; repeated: within a chunk that occurred before.
+
+    The first place of a pair is never within a repeated chunk, for the chunk's
+    own first place holds the pair too: such pairs need no comparison.
+    """
+    ends, start = boundaries(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), divisor)
+    line = lambda i: F.get("lines", i)
+    full = lambda x: x.rlike(r"\S")
+    # A chunk's pairs, the last one with the next chunk's first line: that one has no chunk.
+    pair = lambda i, e, k: F.struct(i.alias("pos"), F.xxhash64(line(i), line(i + 1)).alias("h"), F.when(i < e, k).alias("chunk"))
+    at = lambda e, k: F.filter(F.sequence(start(k), e), lambda i: (i < F.size("lines") - 1) & (full(line(i)) | full(line(i + 1))))
+    pairs = F.flatten(F.transform("ends", lambda e, k: F.transform(at(e, k), lambda i: pair(i, e, k))))
+    pairs = ends.select("doc_id", "at", F.explode_outer(pairs).alias("pair")).where("pair is not null").select("doc_id", "at", "pair.*")
+    gone = repeated_chunks(docs, divisor).select(F.col("doc_id").alias("_c_id"), F.col("at").alias("_c_at"), "gone")
+    met = pairs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_c_id")) & (F.col("at") == F.col("_c_at")), "left")
+    return met.select("doc_id", "at", "pos", "h", F.coalesce(F.array_contains("gone", F.col("chunk")), F.lit(False)).alias("repeated"))
+
+
+def repeated_pairs(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, at, gone: positions of lines that, with the next, occurred before.
 
-    A pair that overlaps its first occurrence (``a`` twice in ``a a a``) is no
-    repeat.  Texts are shuffled only of pairs whose hash occurs again.
+    Those within repeated chunks, and of the others those whose pair occurred
+    before.  A pair that overlaps its first occurrence (``a`` twice in ``a a
+    a``) is no repeat.  Texts are shuffled only of what occurs again by its hash.
     """
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.xxhash64("text"))
     line = lambda i: F.get("lines", i)
-    full = lambda x: x.rlike(r"\S")
-    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i < F.size("lines") - 1) & (full(line(i)) | full(line(i + 1))))
-    pairs = texts.select("doc_id", "at", F.split("text", "\n", -1).alias("lines"))
-    pairs = pairs.select("doc_id", "at", F.explode_outer(F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(line(i), line(i + 1)).alias("h")))).alias("pair"))
-    hashes = materialize(pairs.where("pair is not null").select("doc_id", "at", "pair.*"), "hashes")
+    pairs = materialize(line_pairs(docs, divisor), "pairs")
+    hashes = pairs.where("not repeated").select("doc_id", "at", "pos", "h")
     marks, again = marked(hashes, overlapping=True)
     held = texts.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.col("at") == F.col("_m_at")))
     held = held.select("doc_id", "at", "marks", F.split("text", "\n", -1).alias("lines"))
     cut = F.transform("marks", lambda m: F.struct(m["pos"].alias("pos"), m["h"].alias("h"), m["leads"].alias("leads"), F.concat(line(m["pos"]), F.lit("\n"), line(m["pos"] + 1)).alias("chunk")))
     candidates = materialize(held.select("doc_id", "at", F.explode(cut).alias("m")).select("doc_id", "at", "m.*"), "chunks")
-    discard(hashes, again)
-    return verified(candidates)
+    discard(again)
+    found = verified(candidates).select("doc_id", "at", F.explode("gone").alias("pos")).union(pairs.where("repeated").select("doc_id", "at", "pos"))
+    return found.groupBy("doc_id", "at").agg(F.collect_set("pos").alias("gone"))
 
 
 def handed_back(docs: DataFrame, gone: DataFrame, kept_lines) -> DataFrame:
@@ -153,8 +177,13 @@ def handed_back(docs: DataFrame, gone: DataFrame, kept_lines) -> DataFrame:
     )
 
 
-def drop_repeated_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text``; adds lines_in and lines_out (an input's own columns of these names are replaced)."""
+def drop_repeated_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST, extended: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks removed from ``text``; adds lines_in and lines_out (an input's own columns of these names are replaced).
+
+    extended: repeats go beyond the chunks' boundaries, see ``drop_repeated_passages``; ``least`` is LEAST then.
+    """
+    if extended:
+        return drop_repeated_passages(docs, divisor)
 
     def kept(lines: str, gone: str) -> Column:
         """The chunks' lines but for those at the positions in ``gone``."""
@@ -170,12 +199,12 @@ def drop_repeated_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LE
     return handed_back(docs, repeated_chunks(docs, divisor, least), kept)
 
 
-def drop_repeated_passages(docs: DataFrame) -> DataFrame:
-    """As ``drop_repeated_lines``, but by pairs of neighbouring lines: passages that occurred before go whole."""
+def drop_repeated_passages(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """As ``drop_repeated_lines``, and on beyond the chunks by pairs of neighbouring lines: passages that occurred before go whole."""
 
     def kept(lines: str, gone: str) -> Column:
         """What lies between two pairs that go."""
         start = lambda k: F.coalesce(F.get(gone, k - 1) + 2, F.lit(0))
         return F.flatten(F.transform(F.concat(gone, F.array(F.size(lines))), lambda e, k: F.slice(lines, start(k) + 1, F.greatest(e - start(k), F.lit(0)))))
 
-    return handed_back(docs, repeated_pairs(docs), kept)
+    return handed_back(docs, repeated_pairs(docs, divisor), kept)
